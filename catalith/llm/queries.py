@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.llm import cooccurrence, history
+from catalith.llm import cooccurrence, history, residue
 from catalith.sources.tables import table
 
 
@@ -23,6 +23,27 @@ def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrence.pairs(table(spark, folder, "vlm_metadata"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are or contain residue."""
+    documents = table(spark, folder, "documents")
+    weights, _ = residue.train(documents)
+    return residue.residue(documents, weights)
+
+
+def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean set, by source: documents kept and left out."""
+    documents = table(spark, folder, "documents")
+    weights, _ = residue.train(documents)
+    kept = residue.without_residue(documents, weights)
+    return documents.groupBy("source").count().withColumnRenamed("count", "documents").join(kept.groupBy("source").count().withColumnRenamed("count", "kept"), "source", "left")
+
+
+def p10_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """How the classifier fares on the weak labels of sources that it has not seen."""
+    weights, aside = residue.train(table(spark, folder, "documents"), held_out=4)
+    return spark.createDataFrame([residue.measure(weights, aside)], "pieces long, residue long, true_positive long, false_positive long, false_negative long, precision double, recall double")
+
+
 _PAIRS = r"""WITH t AS (SELECT DISTINCT asset_id, regexp_replace(lower(tag), '^\s+|\s+$', '', 'g') AS tag FROM (SELECT asset_id, unnest(tags) AS tag FROM vlm_metadata) WHERE tag IS NOT NULL AND asset_id IS NOT NULL),
 u AS (SELECT * FROM t WHERE tag <> ''), total AS (SELECT count(DISTINCT asset_id) AS n FROM u), c AS (SELECT tag, count(*) AS n_t FROM u GROUP BY tag),
 p AS (SELECT a.tag AS tag_a, b.tag AS tag_b, count(*) AS n_ab FROM u a JOIN u b ON a.asset_id = b.asset_id AND a.tag < b.tag GROUP BY 1, 2),
@@ -34,4 +55,4 @@ SQL = {
     "p7_scores": _PAIRS + "SELECT tag_a, tag_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a * n_b), 6) AS lift, round(CASE WHEN n_a > n_ab THEN n_a * (n - n_b) / ((n_a - n_ab) * n) END, 6) AS conviction FROM s",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p7_found, p7_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p7_found, p7_scores, p10_found, p10_clean, p10_validation)}
