@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.llm import cooccurrence, history, residue
+from catalith.llm import cooccurrence, history, mixing, packing, residue
 from catalith.sources.tables import table
 
 
@@ -23,6 +23,26 @@ def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrence.pairs(table(spark, folder, "vlm_metadata"))
 
 
+def p8_layout(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every text in the containers of each capacity."""
+    return packing.layout(table(spark, folder, "documents"), table(spark, folder, "container_spec"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill(p8_layout(spark, folder), table(spark, folder, "container_spec"))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each text is used."""
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of tokens that the sources really reach."""
+    return mixing.shares(*mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target")))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that are or contain residue."""
     documents = table(spark, folder, "documents")
@@ -55,4 +75,4 @@ SQL = {
     "p7_scores": _PAIRS + "SELECT tag_a, tag_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a * n_b), 6) AS lift, round(CASE WHEN n_a > n_ab THEN n_a * (n - n_b) / ((n_a - n_ab) * n) END, 6) AS conviction FROM s",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p7_found, p7_scores, p10_found, p10_clean, p10_validation)}
+QUERIES = {f.__name__: f for f in (p1_found, p7_found, p7_scores, p8_layout, p8_fill, p9_mixture, p9_shares, p10_found, p10_clean, p10_validation)}
