@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from catalith.session import stash
+
 #: Hash buckets for content tokens of one field.
 BUCKETS = 1024
 #: Least overlap of the token histograms of a renamed field, between 0 and 1.
@@ -106,7 +108,7 @@ def file_fields(stats: DataFrame) -> DataFrame:
 
 def file_changes(df: DataFrame, feed: str = "feed", file_no: str = "file_no", body: str = "body", same_content: float = SAME_CONTENT, same_object: float = SAME_OBJECT, stats: DataFrame | None = None) -> DataFrame:
     """(feed, file_no, change_kind, old_name, new_name): the changes of each file against the one before it."""
-    stats = file_statistics(df, feed, file_no, body) if stats is None else stats
+    stats = stash(file_statistics(df, feed, file_no, body), "statistics") if stats is None else stats
     files = df.select(F.col(feed).alias("feed"), F.col(file_no).cast("int").alias("file_no")).filter("feed IS NOT NULL AND file_no IS NOT NULL").distinct()
     files = files.withColumn("next_no", F.lead("file_no").over(W.partitionBy("feed").orderBy("file_no")))
     fields = file_fields(stats)
