@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from catalith.llm import cooccurrence, history, mixing, packing, residue
+from catalith.llm import cooccurrence, history, mixing, packing, residue, similarity_clusters
 from catalith.sources.tables import table
 
 
@@ -13,6 +14,17 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.reject(history.asset_keys(table(spark, folder, "asset"), table(spark, folder, "media_metadata"))).withColumnRenamed("id", "asset_id")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The members of each cluster of similar assets, with the smallest id of the cluster."""
+    found = similarity_clusters.clusters(table(spark, folder, "asset"), table(spark, folder, "media_cluster"))
+    return found.select(F.col("id").alias("asset_id"), F.col("cluster").alias("first_id"))
+
+
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Each cluster's size and most typical members."""
+    return similarity_clusters.described(similarity_clusters.clusters(table(spark, folder, "asset"), table(spark, folder, "media_cluster")))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """The pairs of tags that occur together five times as often as by chance."""
     return cooccurrence.pairs(table(spark, folder, "vlm_metadata")).select("tag_a", "tag_b")
@@ -75,4 +87,4 @@ SQL = {
     "p7_scores": _PAIRS + "SELECT tag_a, tag_b, n_ab, n_a, n_b, n, round(n_ab * n / (n_a * n_b), 6) AS lift, round(CASE WHEN n_a > n_ab THEN n_a * (n - n_b) / ((n_a - n_ab) * n) END, 6) AS conviction FROM s",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p7_found, p7_scores, p8_layout, p8_fill, p9_mixture, p9_shares, p10_found, p10_clean, p10_validation)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_clusters, p7_found, p7_scores, p8_layout, p8_fill, p9_mixture, p9_shares, p10_found, p10_clean, p10_validation)}
