@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalith.functions.grouped import binary, map_groups, matrix, vector_sums
@@ -250,5 +251,8 @@ def clusters(df: DataFrame, known: DataFrame | None = None, ident: str = "id", c
 def described(members: DataFrame, typical: int = 3) -> DataFrame:
     """(cluster, size, mean_cosine, typical): each cluster's size and its most typical members. A member's mean cosine
     to all members is its cosine to the centre times the length of their mean, so both rank members alike."""
-    best = F.max_by("id", F.struct("cosine", "id"), typical)
-    return members.groupBy("cluster").agg(F.count("*").alias("size"), F.round(F.avg("cosine"), 6).alias("mean_cosine"), best.alias("typical"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.round(F.avg("cosine"), 6).alias("mean_cosine"))
+    place = F.row_number().over(W.partitionBy("cluster").orderBy(F.col("cosine").desc(), "id"))
+    best = members.withColumn("place", place).filter(F.col("place") <= typical)  # cut to so many in the map tasks
+    names = best.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda s: s["id"]).alias("typical"))
+    return sizes.join(names, "cluster")
