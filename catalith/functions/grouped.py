@@ -52,10 +52,23 @@ def binary(vectors: np.ndarray) -> pa.Array:
     return pa.array([v.tobytes() for v in np.ascontiguousarray(vectors, np.float32)], pa.binary())
 
 
+def compact(vectors: np.ndarray) -> pa.Array:
+    """One byte per axis, scaled by the largest: enough for the direction of a vector."""
+    top = np.maximum(np.abs(vectors).max(axis=1, keepdims=True), 1e-12)
+    return pa.array([v.tobytes() for v in np.round(vectors / top * 127).astype(np.int8)], pa.binary())
+
+
+def directions(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The unit vectors of :func:`compact`."""
+    rows = column.to_pylist()
+    v = np.frombuffer(b"".join(rows), np.int8).reshape(len(rows), -1).astype(np.float32)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
 def vector_sums(df: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     """(key, vec, n): the sum of the binary vectors of each key and their number. Sums are first formed inside each
     batch of the map tasks, so a key with a third of all rows is a few rows per task."""
-    schema = f"{key} string, {vec} binary, n bigint"
+    schema = f"{key} {dict(df.dtypes)[key]}, {vec} binary, n bigint"
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
