@@ -29,15 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalith.functions.grouped import binary, map_groups, matrix, vector_sums
+from catalith.functions.grouped import binary, compact, directions, map_groups, matrix, vector_sums
 from catalith.session import stash
 
 #: Cosine to the centre that a member needs unless its cluster says otherwise.
 THRESHOLD = 0.72
 #: Largest sample of pivots, cosine to an anchor, least cosine of an affinity, cells an anchor is compared in,
-#: affinities kept per anchor and cell, iterated vectors, iterations, cosine from which centres are one.
-PIVOTS, CLOSE, AFFINE, CELLS, LINKS, VECTORS, ITERATIONS, ONE_CENTRE = 2048, 0.8, 0.64, 6, 12, 4, 6, 0.81
-#: Vectors of one cluster checked in a task.
+#: affinities kept per anchor and cell, iterated vectors, iterations, cosine from which centres are one, and from which a
+#: cluster's members are held against another's centre too.
+PIVOTS, CLOSE, AFFINE, CELLS, LINKS, VECTORS, ITERATIONS, ONE_CENTRE, NEXT_CENTRE = 2048, 0.76, 0.64, 4, 6, 3, 4, 0.81, 0.62
+#: Cells a centre is compared in; there are few centres.
+CENTRE_CELLS = 10
+#: Vectors of one anchor checked in a task.
 SALT = 50_000
 
 
@@ -57,15 +60,15 @@ def unit_vectors(df: DataFrame, ident: str, column: str, size: int) -> DataFrame
     return rows.select(F.col(ident).cast("string").alias("id"), F.col(column).alias("v")).mapInArrow(run, "id string, vec binary")
 
 
-def pivots(vectors: DataFrame, limit: int = PIVOTS, per: int = 200) -> tuple[list[str], np.ndarray]:
-    """A sample by hash, one vector in ``per``, at least 16 and at most ``limit``."""
-    n = vectors.count()
+def pivots(vectors: DataFrame, n: int, limit: int = PIVOTS, per: int = 200) -> tuple[list[str], np.ndarray]:
+    """A sample by hash of the ids, one vector in ``per`` of ``n``, at least 16 and at most ``limit``."""
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(min(limit, max(16, n // per))).collect()
     return [r.id for r in rows], np.frombuffer(b"".join(bytes(r.vec) for r in rows), np.float32).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.float32)
 
 
-def anchored(vectors: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
-    """(id, anchor, vec): every vector with an anchor, itself one of the vectors."""
+def anchored(vectors: DataFrame, n: int, names: list[str], table: np.ndarray) -> DataFrame:
+    """(id, anchor, vec): every vector with an anchor, the hash of one of the ids. The cells are computed twice, which costs
+    less than writing all vectors once more."""
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,9 +79,9 @@ def anchored(vectors: DataFrame, names: list[str], table: np.ndarray) -> DataFra
             near = cos[np.arange(len(best)), best] >= CLOSE
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[b] if k else None for b, k in zip(best, near, strict=True)], pa.string()), pa.array(best.astype(np.int32)), batch.column(1)], names=["id", "anchor", "cell", "vec"])
 
-    placed = stash(vectors.mapInArrow(nearest, "id string, anchor string, cell int, vec binary"), "placed")
+    placed = vectors.mapInArrow(nearest, "id string, anchor string, cell int, vec binary")
     close = placed.filter("anchor IS NOT NULL").select("id", "anchor", "vec")
-    salts = max(1, -(-placed.count() // (max(len(names), 1) * 2000)))
+    salts = max(1, -(-n // (max(len(names), 1) * 2000)))
     far = placed.filter("anchor IS NULL").select("id", "cell", "vec", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"), F.xxhash64("id", F.lit(1)).alias("rank"))
 
     def lead(part: pa.Table) -> pa.RecordBatch:
@@ -101,12 +104,13 @@ def anchored(vectors: DataFrame, names: list[str], table: np.ndarray) -> DataFra
                     anchor[start : start + 1024][free] = start + i
         return pa.RecordBatch.from_arrays([part["id"].combine_chunks(), pa.array([ids[a] for a in anchor], pa.string()), part["vec"].combine_chunks()], names=["id", "anchor", "vec"])
 
-    return stash(close.unionByName(map_groups(far, ["cell", "salt"], ["rank", "id"], lead, "id string, anchor string, vec binary")), "anchored")
+    led = map_groups(far, ["cell", "salt"], ["rank", "id"], lead, "id string, anchor string, vec binary")
+    return stash(close.unionByName(led).select("id", F.xxhash64("anchor").alias("anchor"), "vec"), "anchored")
 
 
 def affinities(nodes: DataFrame, table: np.ndarray, least: float, cells: int = CELLS, links: int = LINKS) -> DataFrame:
     """(a, b, cos): pairs of nodes, both ways, at a cosine of at least ``least`` among the ``links`` nearest in a cell.
-    ``nodes``: (id, vec), not necessarily of unit length."""
+    ``nodes``: (id, vec), not necessarily of unit length; between tasks a vector is one byte per axis."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,11 +120,11 @@ def affinities(nodes: DataFrame, table: np.ndarray, least: float, cells: int = C
             v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
             k = min(cells, len(table))
             top = np.argpartition(-(v @ table.T), k - 1, axis=1)[:, :k]
-            at = np.repeat(np.arange(len(v)), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(top.ravel().astype(np.int32)), binary(v[at])], names=["id", "cell", "vec"])
+            at = pa.array(np.repeat(np.arange(len(v)), k))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(top.ravel().astype(np.int32)), compact(v).take(at)], names=["id", "cell", "vec"])
 
     def link(part: pa.Table) -> pa.RecordBatch | None:
-        v = matrix(part["vec"])
+        v = directions(part["vec"])
         if len(v) < 2:
             return None
         a, b, c = [], [], []
@@ -137,33 +141,33 @@ def affinities(nodes: DataFrame, table: np.ndarray, least: float, cells: int = C
         a, b, c = np.concatenate(a), np.concatenate(b), np.concatenate(c)
         ids = part["id"].combine_chunks()
         both = (np.concatenate([a, b]), np.concatenate([b, a]))
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(both[0])), ids.take(pa.array(both[1])), pa.array(np.concatenate([c, c]).astype(np.float64))], names=["a", "b", "cos"])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(both[0])), ids.take(pa.array(both[1])), pa.array(np.concatenate([c, c]).astype(np.float32))], names=["a", "b", "cos"])
 
-    placed = nodes.select("id", "vec").mapInArrow(place, "id string, cell int, vec binary")
-    return map_groups(placed, ["cell"], ["id"], link, "a string, b string, cos double").groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    placed = nodes.select("id", "vec").mapInArrow(place, "id bigint, cell int, vec binary")
+    return map_groups(placed, ["cell"], ["id"], link, "a bigint, b bigint, cos float").groupBy("a", "b").agg(F.max("cos").alias("cos"))
 
 
 def embedding(edges: DataFrame, nodes: DataFrame, vectors: int = VECTORS, iterations: int = ITERATIONS) -> DataFrame:
     """(id, x0, x1, …): random vectors after repeated products with the row-normalised affinities. ``edges``:
-    (a, b, w) with every node's loop."""
+    (a, b, w) with every node's loop. The affinities are shuffled once for all iterations."""
     total = edges.groupBy("a").agg(F.sum("w").alias("total"))
-    steps = stash(edges.join(total, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")), "steps")
+    steps = stash(edges.join(total, "a").select("a", "b", (F.col("w") / F.col("total")).cast("float").alias("p")), "steps")
     names = [f"x{i}" for i in range(vectors)]
-    now = nodes.select("id", *[(F.xxhash64("id", F.lit(i)) / F.lit(2.0**63)).alias(n) for i, n in enumerate(names)])
+    now = nodes.select("id", *[(F.xxhash64("id", F.lit(i)) / F.lit(2.0**63)).cast("float").alias(n) for i, n in enumerate(names)])
     for _ in range(iterations):
-        now = steps.join(now.withColumnRenamed("id", "b"), "b").groupBy("a").agg(*[F.sum(F.col("p") * F.col(n)).alias(n) for n in names]).withColumnRenamed("a", "id")
+        now = steps.join(now.withColumnRenamed("id", "b"), "b").groupBy("a").agg(*[F.sum(F.col("p") * F.col(n)).cast("float").alias(n) for n in names]).withColumnRenamed("a", "id")
     return stash(now, "embedding")
 
 
 def spectral_labels(edges: DataFrame, nodes: DataFrame, rounds: int = 2) -> DataFrame:
     """(id, label): k-means of the embedding, from the density peaks of the affinity graph."""
-    loops = nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("w"))
-    weighted = stash(edges.select("a", "b", F.pow(F.col("cos") - 0.5, 2).alias("w")).unionByName(loops), "affinities")
+    loops = nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).cast("float").alias("w"))
+    weighted = stash(edges.select("a", "b", F.pow(F.col("cos") - 0.5, 2).cast("float").alias("w")).unionByName(loops), "affinities")
     points = embedding(weighted, nodes)
     names = [c for c in points.columns if c != "id"]
     # Peaks: every node points to its neighbour with the most members and affinity; following the pointers leads to a peak.
-    weight = stash(weighted.groupBy("a").agg(F.sum("w").alias("d")).join(nodes.select(F.col("id").alias("a"), "n"), "a").select(F.col("a").alias("b"), F.struct((F.col("d") * F.sqrt(F.col("n") + 1)).alias("density"), F.col("a").alias("id")).alias("peak")), "density")
-    label = weighted.join(weight, "b").groupBy("a").agg(F.max("peak").alias("peak")).select(F.col("a").alias("id"), F.col("peak.id").alias("label"))
+    density = weighted.groupBy("a").agg(F.sum("w").alias("d")).join(nodes.select(F.col("id").alias("a"), "n"), "a").select(F.col("a").alias("b"), F.struct((F.col("d") * F.sqrt(F.col("n") + 1)).alias("density"), F.col("a").alias("id")).alias("peak"))
+    label = weighted.select("a", "b").join(density, "b").groupBy("a").agg(F.max("peak").alias("peak")).select(F.col("a").alias("id"), F.col("peak.id").alias("label"))
     for _ in range(2):
         label = stash(label, "labels")
         label = label.join(label.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "left").select("id", F.coalesce("next", "label").alias("label"))
@@ -180,7 +184,7 @@ def united(centres: DataFrame, table: np.ndarray) -> DataFrame:
     """(label, united): clusters whose centres agree go to the one with the most members among them.
     ``centres``: (label, vec, n)."""
     nodes = centres.withColumnRenamed("label", "id")
-    near = affinities(nodes, table, ONE_CENTRE)
+    near = affinities(nodes, table, ONE_CENTRE, CENTRE_CELLS)
     heavy = nodes.select(F.col("id").alias("b"), F.struct("n", F.col("id").alias("id")).alias("h"))
     best = near.join(heavy, "b").groupBy("a").agg(F.max("h").alias("h"))
     own = nodes.select(F.col("id").alias("a"), F.struct("n", F.col("id").alias("id")).alias("own")).join(best, "a", "left")
@@ -191,34 +195,42 @@ def united(centres: DataFrame, table: np.ndarray) -> DataFrame:
 def clusters(df: DataFrame, known: DataFrame | None = None, ident: str = "id", column: str = "embedding", size: int = 64) -> DataFrame:
     """(id, cluster, cosine): the members of all clusters of two or more; ``cluster`` is the smallest id in it, ``cosine`` that to
     the centre. ``known``: (id, centroid, threshold)."""
-    vectors = stash(unit_vectors(df, ident, column, size).groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
-    names, table = pivots(vectors)
-    empty = vectors.sparkSession.createDataFrame([], "id string, cluster string, cosine double")
-    if not names:
-        return empty
-    points = anchored(vectors, names, table)
+    vectors = unit_vectors(df, ident, column, size)
+    n = vectors.select("id").count()
+    if not n:
+        return df.sparkSession.createDataFrame([], "id string, cluster string, cosine double")
+    names, table = pivots(vectors, n)
+    points = anchored(vectors, n, names, table)
     nodes = vector_sums(points.select("anchor", "vec"), "anchor").withColumnRenamed("anchor", "id")
     if known is not None:
         given = unit_vectors(known, "id", "centroid", size).join(known.select(F.col("id").cast("string").alias("id"), F.coalesce("threshold", F.lit(THRESHOLD)).alias("threshold")), "id")
-        given = stash(given.groupBy("id").agg(F.min("vec").alias("vec"), F.min("threshold").alias("threshold")).withColumn("id", F.concat(F.lit("known:"), "id")), "known")
+        given = stash(given.groupBy("id").agg(F.min("vec").alias("vec"), F.min("threshold").alias("threshold")).select(F.xxhash64(F.concat(F.lit("known:"), "id")).alias("id"), "vec", "threshold"), "known")
         nodes = nodes.unionByName(given.select("id", "vec", F.lit(0).cast("bigint").alias("n")))
     nodes = stash(nodes, "nodes")
-    edges = stash(affinities(nodes, table, AFFINE), "edges")
+    edges = affinities(nodes, table, AFFINE)
     labels = spectral_labels(edges, nodes)
     for _ in range(2):
-        centres = vector_sums(nodes.join(labels, "id").select("label", "vec", "n"), "label")
-        labels = stash(labels.join(united(stash(centres, "centres"), table), "label").select("id", F.col("united").alias("label")), "labels")
-
-    # Centres: the mean of the members, or the known ones where a cluster has any.
-    members = stash(points.join(labels.withColumnRenamed("id", "anchor"), "anchor").select("id", "label", "vec"), "members")
-    means = vector_sums(members.select("label", "vec"), "label")
-    sizes = stash(means, "means")
-    centres = sizes.select("label", F.lit("").alias("centre"), F.lit(THRESHOLD).alias("threshold"), "vec")
+        sums = stash(vector_sums(nodes.join(labels, "id").select("label", "vec", "n"), "label"), "centres")
+        labels = stash(labels.join(united(sums, table), "label").select("id", F.col("united").alias("label")), "labels")
+
+    # Centres: the mean of the members, or the known ones where a cluster has any; there the mean takes only what they leave.
+    sums = stash(vector_sums(nodes.join(labels, "id").select("label", "vec", "n"), "label"), "centres")
+    own = F.lit(None).cast("bigint")
     if known is not None:
-        centres = centres.unionByName(given.join(labels, "id").select("label", F.col("id").alias("centre"), "threshold", "vec"))
-    salts = sizes.select("label", F.ceil(F.col("n") / SALT).cast("int").alias("salts"))
-    heads = centres.join(salts, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("centre").alias("id"), "threshold", "vec")
-    body = members.join(salts, "label").select("label", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", F.lit(0.0).alias("threshold"), "vec")
+        held = given.join(labels, "id")
+        own = F.col("known")
+        means = sums.join(held.select("label", F.lit(1).cast("bigint").alias("known")).distinct(), "label", "left")
+    else:
+        means = sums
+    centres = means.select("label", F.col("label").alias("centre"), F.lit(THRESHOLD).alias("threshold"), own.isNotNull().alias("last"), "vec")
+    if known is not None:
+        centres = centres.unionByName(held.select("label", F.col("id").alias("centre"), "threshold", F.lit(False).alias("last"), "vec"))
+    beside = affinities(sums.withColumnRenamed("label", "id"), table, NEXT_CENTRE, CENTRE_CELLS).select(F.col("a").alias("label"), F.col("b").alias("other"))
+    offered = labels.join(beside.unionByName(sums.select("label", F.col("label").alias("other"))), "label").select(F.col("id").alias("anchor"), F.col("other").alias("label"))
+    heads = offered.join(centres, "label").join(nodes.select(F.col("id").alias("anchor"), F.col("n").alias("anchored")).filter("anchored > 0"), "anchor")
+    heads = heads.select("anchor", F.explode(F.sequence(F.lit(0), F.floor((F.col("anchored") - 1) / SALT).cast("int"))).alias("salt"), F.lit(0).alias("kind"), F.lit("").alias("id"), "centre", "threshold", "last", "vec")
+    salts = points.join(nodes.filter(F.col("n") > SALT).select(F.col("id").alias("anchor"), F.ceil(F.col("n") / SALT).alias("salts")), "anchor", "left")
+    body = salts.select("anchor", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", F.lit(0).cast("bigint").alias("centre"), F.lit(0.0).alias("threshold"), F.lit(False).alias("last"), "vec")
 
     def check(part: pa.Table) -> pa.RecordBatch | None:
         head = part["kind"].to_numpy() == 0
@@ -227,25 +239,18 @@ def clusters(df: DataFrame, known: DataFrame | None = None, ident: str = "id", c
         if not len(x) or not len(c):
             return None
         c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        name = [n for n, h in zip(part["id"].to_pylist(), head, strict=True) if h]
-        least = part["threshold"].to_numpy()[head]
+        name, least = part["centre"].to_numpy()[head], part["threshold"].to_numpy()[head]
         cos = x @ c.T
-        if len(name) > 1 and name[0] == "":
-            # With known centres the mean of all takes only what none of them does.
-            fits = (cos >= least - 1e-6) & np.array([n != "" for n in name])
-            best = np.where(fits, cos, -2).argmax(axis=1)
-            best[~fits.any(axis=1)] = 0
-        else:
-            best = cos.argmax(axis=1)
-        got = cos[np.arange(len(best)), best]
-        good = got >= least[best] - 1e-6
-        label = part["label"][0].as_py()
-        ids = part["id"].filter(pa.array(~head & True)).combine_chunks().filter(pa.array(good))
-        return pa.RecordBatch.from_arrays([ids, pa.array([f"{label}|{name[b]}" for b in best[good]], pa.string()), pa.array(got[good].astype(np.float64))], names=["id", "label", "cosine"])
-
-    checked = stash(map_groups(heads.unionByName(body), ["label", "salt"], ["kind", "id"], check, "id string, label string, cosine double"), "checked")
-    first = checked.groupBy("label").agg(F.min("id").alias("cluster"), F.count("*").alias("n")).filter("n > 1")
-    return checked.join(first.select("label", "cluster"), "label").select("id", "cluster", "cosine")
+        rank = np.where(cos >= least - 1e-6, cos - 2 * np.asarray(part["last"].to_numpy(zero_copy_only=False), bool)[head], -9)
+        best = rank.argmax(axis=1)
+        good = rank[np.arange(len(best)), best] > -9
+        ids = part["id"].combine_chunks().filter(pa.array(~head)).filter(pa.array(good))
+        return pa.RecordBatch.from_arrays([ids, pa.array(name[best[good]], pa.int64()), pa.array(cos[np.arange(len(best)), best][good].astype(np.float64))], names=["id", "label", "cosine"])
+
+    checked = map_groups(heads.unionByName(body), ["anchor", "salt"], ["kind", "id", "centre"], check, "id string, label bigint, cosine double")
+    checked = stash(checked, "checked")
+    first = checked.groupBy("label").agg(F.min("id").alias("cluster"), F.max("id").alias("last")).filter("cluster <> last")
+    return checked.join(first.select("label", "cluster"), "label").groupBy("id").agg(F.min_by(F.struct("cluster", "cosine"), F.struct(-F.col("cosine"), "cluster")).alias("c")).select("id", "c.cluster", "c.cosine")
 
 
 def described(members: DataFrame, typical: int = 3) -> DataFrame:
