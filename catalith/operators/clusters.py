@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,19 +36,19 @@ def assign_best(vectors: DataFrame, clusters: DataFrame, block: int = 4096) -> D
         own = known.filter(F.col("block") == part).orderBy("cluster_id").collect()  # at most ``block`` rows
         names, table, least = [r.cluster_id for r in own], np.array([r.centroid for r in own]), np.array([r.threshold for r in own])
 
-        def run(frames: Iterator[pd.DataFrame], names=names, table=table, least=least) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                good = f[[v is not None and len(v) == table.shape[1] for v in f.embedding]]
-                if not len(good):
-                    yield pd.DataFrame({"id": [], "cluster_id": [], "cosine": []})
-                    continue
-                cos = np.round(np.array(good.embedding.tolist(), float) @ table.T, 12)
-                cos[cos < least] = -2
+        def run(batches: Iterator[pa.RecordBatch], names=names, table=table, least=least) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), table.shape[1]), False)
+                good = batch.filter(fits)
+                v = good.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, table.shape[1])
+                cos = np.round(v @ table.T, 12)
+                cos[~(cos >= least)] = -2
                 best = cos.argmax(axis=1)
                 got = cos[np.arange(len(best)), best]
-                yield pd.DataFrame({"id": good.id[got > -2], "cluster_id": [names[b] for b in best[got > -2]], "cosine": got[got > -2]})
+                hit = got > -2
+                yield pa.RecordBatch.from_arrays([good.column(0).filter(pa.array(hit)), pa.array([names[b] for b in best[hit]], pa.string()), pa.array(got[hit])], names=["id", "cluster_id", "cosine"])
 
-        hits = rows.mapInPandas(run, "id string, cluster_id string, cosine double")
+        hits = rows.mapInArrow(run, "id string, cluster_id string, cosine double")
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         return rows.select("id", F.lit("").alias("cluster_id"), F.lit(0.0).alias("cosine")).limit(0)

@@ -3,8 +3,6 @@
 Codecs and models stay behind small protocols; the defaults are deterministic and need no files.
 """
 
-from __future__ import annotations
-
 import hashlib
 from collections.abc import Iterator, Sequence
 from typing import Protocol
@@ -47,7 +45,8 @@ def embed(df: DataFrame, column: str, embedder: Embedder | None = None, name: st
     """All columns and the unit vector of ``column``; blank or null text is an error that names the first five rows of its batch."""
     model = embedder or HashingEmbedder()
 
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<float>")
+    def encode(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in series:
             bad = [i for i, t in enumerate(s) if t is None or not str(t).strip()]
             if bad:
@@ -58,7 +57,6 @@ def embed(df: DataFrame, column: str, embedder: Embedder | None = None, name: st
                 raise ValueError(f"the encoder gave {matrix.shape[1]} axes instead of {model.size}")
             yield pd.Series(list(matrix))
 
-    encode = F.pandas_udf(run, "array<float>", functionType=F.PandasUDFType.SCALAR_ITER)
     return df.withColumn(name, encode(F.col(column)))
 
 
