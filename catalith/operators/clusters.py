@@ -172,3 +172,35 @@ def leader_clustering(vectors: DataFrame, group: str, order: str, threshold: flo
 
     kind = dict(vectors.dtypes)[group]
     return vectors.filter("embedding IS NOT NULL").select(group, order, "id", "embedding").groupBy(group).applyInPandas(run, f"{group} {kind}, id string, cluster_no int")
+
+
+def agglomerate(vectors: np.ndarray, cosine: float = 0.82, smallest: float = 0.1) -> np.ndarray:
+    """Cluster numbers by average linkage while the mean cosine between clusters is at least ``cosine``; clusters smaller than a share of
+    all vectors go to the nearest larger one. For the frames of one video or another set that fits one task."""
+    x = np.asarray(vectors, float)
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    n = len(x)
+    groups = {i: [i] for i in range(n)}
+    sims = x @ x.T
+    mean = sims.copy()
+    np.fill_diagonal(mean, -2)
+    alive = np.ones(n, bool)
+    while alive.sum() > 1:
+        a, b = divmod(int(np.where(alive[:, None] & alive[None], mean, -2).argmax()), n)
+        if mean[a, b] < cosine:
+            break
+        na, nb = len(groups[a]), len(groups[b])
+        mean[a] = (na * mean[a] + nb * mean[b]) / (na + nb)
+        mean[:, a] = mean[a]
+        mean[a, a] = -2
+        groups[a] += groups.pop(b)
+        alive[b] = False
+    least = int(smallest * n)
+    centre = {g: x[m].mean(axis=0) for g, m in groups.items()}
+    large = [g for g, m in groups.items() if len(m) >= least] or list(groups)
+    out = np.zeros(n, int)
+    number = {g: k for k, g in enumerate(sorted(large))}
+    for g, m in groups.items():
+        to = g if g in number else max(large, key=lambda h: float(centre[g] @ centre[h]))
+        out[m] = number[to]
+    return out

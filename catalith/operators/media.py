@@ -172,3 +172,40 @@ def with_defaults(df: DataFrame) -> DataFrame:
 def best_categories(scores: dict[str, float]) -> str:
     """The category with the highest score, the first of equals."""
     return max(scores, key=scores.get)
+
+
+def sampled_frames(frames: Sequence[np.ndarray], times: Sequence[float], gap: float = 0.4, distance: float = 0.15, most: int = 24) -> list[int]:
+    """Indexes of frames at least ``gap`` seconds apart that differ in colour from the last one taken, the first three in any case."""
+    taken: list[int] = []
+    last = None
+    for i, (f, t) in enumerate(zip(frames, times, strict=True)):
+        if len(taken) >= most:
+            break
+        if taken and t - times[taken[-1]] < gap:
+            continue
+        h = np.sqrt(colour_histogram(f))
+        if len(taken) < 3 or last is None or np.sqrt(max(0.0, 1 - float(h @ last))) >= distance:
+            taken.append(i)
+            last = h
+    return taken
+
+
+def wave_features(content: bytes, points: int = 64) -> dict[str, object]:
+    """Duration, rate, channels and the envelope of a WAV file as mono loudness at so many points."""
+    import io
+    import wave
+
+    with wave.open(io.BytesIO(content)) as w:
+        rate, channels, width, n = w.getframerate(), w.getnchannels(), w.getsampwidth(), w.getnframes()
+        raw = w.readframes(n)
+    kind = {1: np.uint8, 2: np.int16, 4: np.int32}[width]
+    x = np.frombuffer(raw, kind).astype(float).reshape(-1, channels).mean(axis=1)
+    x = x - 128 if width == 1 else x
+    parts = np.array_split(np.abs(x) / float(2 ** (8 * width - 1)), points) if len(x) else []
+    return {"duration": n / rate if rate else 0.0, "sample_rate": rate, "channels": channels, "envelope": [float(p.max()) if len(p) else 0.0 for p in parts]}
+
+
+def fitted(width: Column, height: Column, longest: int = 1024) -> Column:
+    """struct(width, height) of a picture shrunk so that its longest side fits; whole pixels, smaller ones unchanged."""
+    scale = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(width, height))
+    return F.struct((width * scale).cast("int").alias("width"), (height * scale).cast("int").alias("height"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalith.functions import mime
-from catalith.operators import chunks, deliveries, jobs, media, search
+from catalith.operators import chunks, deliveries, jobs, media, pipeline, search
 from catalith.sources import folder as files
 from catalith.sources.tables import table
 from catalith.streaming import windows
@@ -228,6 +228,56 @@ def due_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.due(table(spark, folder, "queue_message"), F.lit("2024-02-01 00:00:00").cast("timestamp")).select("arrival_no", "job_type", "place")
 
 
+def json_payload_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents per readable body: one per object, one per element of an array."""
+    rows = pipeline.json_payloads(table(spark, folder, "complex_orders"))
+    return rows.groupBy("id").agg(F.count("*").alias("docs"))
+
+
+def json_registered(spark: SparkSession, folder: str) -> DataFrame:
+    """Bodies registered under the hash of their canonical text."""
+    from catalith.operators import profile
+
+    return profile.registered(table(spark, folder, "nested_config"), "configs", "jsonb", True)
+
+
+def cluster_unique_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Unique names for clusters that are suggested the same name."""
+    rows = table(spark, folder, "vlm_metadata").groupBy("asset_id").agg(F.min("suggested_cluster_name").alias("name"))
+    return pipeline.unique_names(rows, "asset_id", "name")
+
+
+def media_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """New media against the history: duplicate of, and cluster."""
+    a = table(spark, folder, "asset").filter("kind = 'media'")
+    h = table(spark, folder, "media_metadata").groupBy(F.col("asset_id").alias("id")).agg(F.min("perceptual_hash").alias("perceptual_hash"))
+    rows = a.join(h, "id", "left").withColumn("sha256", F.lower(F.trim("sha256")))
+    stored = rows.filter("batch_no = 0").select("id", "sha256", "perceptual_hash", "cluster_id", "status", "created_at")
+    return pipeline.ingest_media(rows.filter("batch_no > 0").select("id", "sha256", "perceptual_hash", "embedding"), stored, table(spark, folder, "media_cluster"))
+
+
+def cluster_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """A name for each cluster from the tags of up to five members."""
+    rows = table(spark, folder, "asset").filter("cluster_id IS NOT NULL").select("cluster_id", "id", "tags")
+    return pipeline.labelled_clusters(rows)
+
+
+def picture_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of pictures shrunk to a longest side of 1024."""
+    rows = table(spark, folder, "media_metadata").filter("width > 0 AND height > 0").select("asset_id", "width", "height").distinct()
+    return rows.select("asset_id", media.fitted(F.col("width"), F.col("height")).alias("f")).select("asset_id", "f.width", "f.height")
+
+
+def exif_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of the picture headers with how many pictures have each value."""
+    rows = table(spark, folder, "media_metadata").select("asset_id", F.explode(F.from_json("exif", "map<string,string>")).alias("field", "value")).distinct()
+    return rows.groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+def asset_facets(spark: SparkSession, folder: str) -> DataFrame:
+    return pipeline.facets(table(spark, folder, "asset"))
+
+
 _GRP = "CASE " + " ".join(f"WHEN lower(trim(content_type)) IN ({', '.join(repr(t) for t in ts)}) THEN '{g}'" for g, ts in mime.CONTENT_TYPES.items()) + " END"
 _LIM = "CASE grp " + " ".join(f"WHEN '{g}' THEN {n}" for g, n in mime.LIMITS.items()) + " END"
 _EXT = r"lower(regexp_extract(uri, '[^/\\](\.[^./\\]+)$', 1))"
@@ -269,10 +319,15 @@ SQL = {
     "session_per_user": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 2 HOURS) AS finish_us, count(*) AS n FROM s GROUP BY user_id, s",
     "histogram_quantile_p95": f"WITH b AS (SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS start_s, [{_BUCKETS}] AS c, count(value) AS n FROM events GROUP BY 1), i AS (SELECT *, 0.95 * n AS r, list_position(list_transform(c, lambda v: v >= 0.95 * n), true) AS i, {list(windows.BOUNDS)}::DOUBLE[] AS u FROM b) SELECT start_s, round(CASE WHEN i IS NULL OR i = 0 THEN u[-1] ELSE (CASE WHEN i = 1 THEN 0 ELSE u[i - 1] END) + (u[i] - CASE WHEN i = 1 THEN 0 ELSE u[i - 1] END) * (r - CASE WHEN i = 1 THEN 0 ELSE c[i - 1] END) / (c[i] - CASE WHEN i = 1 THEN 0 ELSE c[i - 1] END) END::DOUBLE, 6) AS p95 FROM i",
     "alert_islands": "WITH h AS (SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS s, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS r FROM events GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY s) AS a FROM h), i AS (SELECT *, a - row_number() OVER (ORDER BY s) AS g FROM k WHERE r > 0.2) SELECT min(s) AS first_s, max(s) AS last_s, count(*) AS windows FROM i GROUP BY g HAVING count(*) >= 3",
+    "json_payload_docs": "SELECT record_id AS id, CASE WHEN json_type(body) = 'OBJECT' THEN 1 ELSE json_array_length(body) END::BIGINT AS docs FROM complex_orders WHERE json_valid(body) AND (json_type(body) = 'OBJECT' OR (json_type(body) = 'ARRAY' AND json_array_length(body) > 0))",
+    "cluster_unique_names": "SELECT asset_id, CASE WHEN k > 0 THEN b || '_' || k ELSE b END AS unique_name FROM (SELECT asset_id, b, row_number() OVER (PARTITION BY b ORDER BY asset_id) - 1 AS k FROM (SELECT asset_id, coalesce(CASE WHEN trim(min(suggested_cluster_name)) <> '' THEN min(suggested_cluster_name) END, 'Cluster ' || substring(asset_id, 1, 8)) AS b FROM vlm_metadata GROUP BY asset_id))",
+    "picture_sizes": "SELECT DISTINCT asset_id, trunc(width * least(1.0::DOUBLE, 1024.0::DOUBLE / greatest(width, height)))::INTEGER AS width, trunc(height * least(1.0::DOUBLE, 1024.0::DOUBLE / greatest(width, height)))::INTEGER AS height FROM media_metadata WHERE width > 0 AND height > 0",
+    "exif_fields": "SELECT field, value, count(*) AS n FROM (SELECT DISTINCT asset_id, field, exif->>('$.' || field) AS value FROM (SELECT asset_id, exif, unnest(json_keys(exif)) AS field FROM media_metadata WHERE exif IS NOT NULL AND json_valid(exif))) GROUP BY ALL",
+    "asset_facets": "SELECT kind, strftime(created_at, '%Y-%m') AS month, CASE WHEN size_bytes IS NULL THEN 'unknown' WHEN size_bytes < 100000 THEN 'small' WHEN size_bytes < 1000000 THEN 'medium' ELSE 'large' END AS size_class, count(*) AS assets FROM asset GROUP BY ALL",
     "idempotent_first": "SELECT request_id, min(arrival_no) AS arrival_no, arg_min(job_type, arrival_no) AS job_type FROM queue_message WHERE request_id IS NOT NULL GROUP BY 1",
     "retry_schedule": "SELECT arrival_no, attempt, delay_s, sum(delay_s) OVER (PARTITION BY arrival_no ORDER BY attempt)::BIGINT AS due FROM (SELECT arrival_no, (c + k)::INTEGER AS attempt, pow(2, c + k - 1)::BIGINT AS delay_s FROM (SELECT arrival_no, coalesce(retry_count, 0) AS c, unnest(range(1, coalesce(max_retries, 3) - coalesce(retry_count, 0))) AS k FROM queue_message))",
     "retry_states": "SELECT arrival_no, coalesce(retry_count, 0) + 1 AS retry_count, coalesce(retry_count, 0) + 1 >= coalesce(max_retries, 3) AS dead_letter, CASE WHEN coalesce(retry_count, 0) + 1 < coalesce(max_retries, 3) THEN pow(2, coalesce(retry_count, 0))::BIGINT END AS delay_s FROM queue_message",
     "due_jobs": "SELECT arrival_no, job_type, row_number() OVER (PARTITION BY job_type ORDER BY priority DESC NULLS LAST, created_at, arrival_no)::INTEGER AS place FROM queue_message WHERE next_retry_at IS NULL OR next_retry_at <= TIMESTAMP '2024-02-01 00:00:00'",
 }
 
-QUERIES = {f.__name__: f for f in (mime_kind_limits, extension_category, scan_statistics, object_view, thumbnail_uri, tag_csv_parse, join_chunk_asset, parent_child, new_docs_anti, job_assets_explode, status_rollup, batch_progress, owner_usage, headings_in_order, heading_forward_fill, chunk_index_rownum, fixed_chunks, chunk_counts, chunk_keyword, recursive_chunks, document_chunks, metadata_defaults, detected_objects, recognised_text, keyframe_timestamps, frame_timestamps, attention_pool, latency_percentiles, tumbling_event_rate, sliding_error_ratio, session_per_user, histogram_quantile_p95, alert_islands, idempotent_first, retry_schedule, retry_states, due_jobs)}
+QUERIES = {f.__name__: f for f in (mime_kind_limits, extension_category, scan_statistics, object_view, thumbnail_uri, tag_csv_parse, join_chunk_asset, parent_child, new_docs_anti, job_assets_explode, status_rollup, batch_progress, owner_usage, headings_in_order, heading_forward_fill, chunk_index_rownum, fixed_chunks, chunk_counts, chunk_keyword, recursive_chunks, document_chunks, metadata_defaults, detected_objects, recognised_text, keyframe_timestamps, frame_timestamps, attention_pool, latency_percentiles, tumbling_event_rate, sliding_error_ratio, session_per_user, histogram_quantile_p95, alert_islands, idempotent_first, retry_schedule, retry_states, due_jobs, json_payload_docs, json_registered, cluster_unique_names, media_ingest, cluster_labels, picture_sizes, exif_fields, asset_facets)}
