@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,7 +33,7 @@ def scratch(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(scratch, "own", None)
     if own is None:
@@ -81,3 +82,10 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join(name, os.path.relpath(full, home)))
     context.addPyFile(f"{folder}/{name}.zip")
     ship.application = context.applicationId
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the cluster runs tasks, for steps whose time goes into Python. A table that
+    is read in enough splits, as large ones are, is returned as it is and not shuffled."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
