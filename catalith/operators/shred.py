@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalith.session import spread
+
 
 class Number(str):
     """A JSON number in its own notation."""
@@ -162,7 +164,7 @@ def shred(df: DataFrame, record: str = "record_id", body: str = "body", roots: S
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return df.select(F.col(record).cast("string").alias("record_id"), F.col(body).alias("body")).mapInArrow(run, "record_id string, " + SHREDDED)
+    return spread(df.select(F.col(record).cast("string").alias("record_id"), F.col(body).alias("body"))).mapInArrow(run, "record_id string, " + SHREDDED)
 
 
 def unreadable(df: DataFrame, record: str = "record_id", body: str = "body") -> DataFrame:
