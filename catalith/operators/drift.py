@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalith.session import stash
+from catalith.session import spread, stash
 
 #: Hash buckets for content tokens of one field.
 BUCKETS = 1024
@@ -91,7 +91,7 @@ def file_statistics(df: DataFrame, feed: str = "feed", file_no: str = "file_no",
         return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array(seen.values(), pa.float64())], names=["feed", "file_no", "field", "type", "token", "weight"])
 
     slim = df.select(F.col(feed).alias("feed"), F.col(file_no).cast("int").alias("file_no"), F.col(body).alias("body")).filter("feed IS NOT NULL AND file_no IS NOT NULL")
-    local = slim.mapInArrow(run, "feed string, file_no int, field string, type string, token int, weight double")
+    local = spread(slim).mapInArrow(run, "feed string, file_no int, field string, type string, token int, weight double")
     return local.groupBy("feed", "file_no", "field", "type", "token").agg(F.sum("weight").alias("weight"))
 
 
