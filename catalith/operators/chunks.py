@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from catalith.session import spread
+
 SIZE, OVERLAP = 512, 50
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 HEADINGS = ("title", "heading", "header", "sectionheader")
@@ -74,7 +76,7 @@ def recursive_chunks(df: DataFrame, ident: str = "doc_id", text: str = "text", s
             rows = [(i, k, c) for i, t in zip(f[ident], f[text], strict=True) if t for k, c in enumerate(recursive_split(t, size, overlap))]
             yield pd.DataFrame(rows, columns=[ident, "chunk_index", "chunk"])
 
-    return df.select(ident, text).mapInPandas(run, f"{ident} {dict(df.dtypes)[ident]}, chunk_index int, chunk string")
+    return spread(df.select(ident, text)).mapInPandas(run, f"{ident} {dict(df.dtypes)[ident]}, chunk_index int, chunk string")
 
 
 def with_headings(elements: DataFrame, group: str, order: str, category: str, text: str) -> DataFrame:

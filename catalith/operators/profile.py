@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalith.session import spread
+
 MAX_KEYS, MAX_DEPTH, FIELD_STABILITY, TYPE_STABILITY = 20, 2, 0.6, 0.9
 PRESENT, SAMPLE_VALUES = 0.95, 10
 #: Words a column may not be named.
@@ -77,7 +79,7 @@ def paths(df: DataFrame, ident: str = "record_id", body: str = "body", max_depth
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return df.select(F.col(ident).cast("string"), F.col(body)).mapInArrow(run, "doc string, ord int, path string, type string, depth int, length int")
+    return spread(df.select(F.col(ident).cast("string"), F.col(body))).mapInArrow(run, "doc string, ord int, path string, type string, depth int, length int")
 
 
 def field_statistics(flat: DataFrame) -> DataFrame:
