@@ -13,6 +13,7 @@ as a whole; without any labelled piece in the sample nothing is a case; null doc
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import zlib
@@ -23,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalith.session import spread
+
 #: Most documents and most distinct pieces that the classifier is fitted on.
-SAMPLE_DOCS, SAMPLE_PIECES = 5000, 20000
+SAMPLE_DOCS, SAMPLE_PIECES = 5000, 12000
 DIMENSIONS = 1 << 16
 #: Least probability of a piece with a weak label, and of one without.
 LABELLED, UNLABELLED = 0.02, 0.95
@@ -42,6 +45,7 @@ _SLOT_MARKS = (r"\{\{\s*(X)\s*\}\}", r"\$\{\s*(X)\s*\}", r"#\{\s*(X)\s*\}", r"\{
 _SLOTS = [re.compile(m.replace("X", _NAME)) for m in _SLOT_MARKS]
 _OPEN = re.compile(r"[\[({<«*]{1,3}\s*(?:TBD|TODO|FIXME|XXX|to be (?:added|filled|determined)|insert|add|choose|select|enter|fill in|type|write|specify|provide|your|merge|à compléter|compléter|insérer|saisir|ajouter|choisir|votre|écrire|écrivez|indiquer|indiquez|renseigner|entrez|insertar|añadir|elegir|introducir|completar|rellenar|por completar|pendiente|escriba|escribir|indique|indicar|ponga|inserte|su|bitte|hier|einfügen|eintragen|eingeben|ergänzen|auswählen|ihre?)\b[^\])}>»*\n]{0,60}[\])}>»*]", re.I)
 _OPEN_LAST = re.compile(r"[\[({<«*]{1,3}[^\[\](){}<>«»*\n]{1,60}\b(?:insert(?:ed)? here|goes here|here|hier einfügen|einfügen|hier eintragen|eintragen|ergänzen|ici|à compléter|aquí|por completar)\s*[\])}>»*]", re.I)
+_MARKS = re.compile(r"[{\[(<%$@«*]|__|&[lg]t")
 _HTML = frozenset("a abbr b big blockquote body br button code div em footer form h1 h2 h3 h4 h5 h6 head header hr html i img input label li link main meta nav ol option p pre s script section select small span strong style sub sup table tbody td textarea th thead title tr u ul sic".split())
 # --- fixed values: phrases of messages
 _ERROR = re.compile(
@@ -80,6 +84,11 @@ _COMMON = frozenset(
 )
 
 
+@functools.lru_cache(maxsize=100_000)
+def _hash(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "replace"))
+
+
 def pieces(text: str | None) -> list[str]:
     """The lines and sentences of a text."""
     return [p for p in _BREAK.split(_SPACES.sub(" ", text).strip()) if p] if text else []
@@ -87,6 +96,8 @@ def pieces(text: str | None) -> list[str]:
 
 def slots(piece: str) -> list[str]:
     """The slot notations in a piece, each as its mark's number and content."""
+    if not _MARKS.search(piece):
+        return []
     plain = html.unescape(piece) if "&" in piece else piece
     found = []
     for k, pattern in enumerate(_SLOTS):
@@ -125,11 +136,13 @@ def features(piece: str, first: bool, alone: bool) -> list[int]:
     plain = html.unescape(piece) if "&" in piece else piece
     words = [w if not w.isdigit() else f"#{min(len(w), 4)}{w if len(w) == 3 and w[0] in '45' else ''}" for w in _WORD.findall(plain.lower())]
     n = len(words)
-    tokens = [*words, *(a + " " + b for a, b in zip(words, words[1:], strict=False)), *(a + " " + b + " " + c for a, b, c in zip(words, words[1:], words[2:], strict=False))]
-    tokens += MARKED * ["\x01" + s for s in slots(piece)]
-    letters = sum(c.isalpha() for c in plain)
+    one = [_hash(w) for w in words]
+    two = [a * 2654435761 + b for a, b in zip(one, one[1:], strict=False)]
+    three = [a * 40503 + b for a, b in zip(two, one[2:], strict=False)]
+    tokens = MARKED * ["\x01" + s for s in slots(piece)]
+    letters = sum(map(str.isalpha, plain))
     tokens += [f"\x02n{min(n, 40).bit_length()}", f"\x02c{min(len(plain), 2000).bit_length()}", f"\x02f{first}", f"\x02a{alone}"]
-    if letters and sum(c.isupper() for c in plain) > 0.7 * letters:
+    if letters and sum(map(str.isupper, plain)) > 0.7 * letters:
         tokens.append("\x02upper")
     if n <= 6 and plain[-1:] not in ".!?":
         tokens.append("\x02title")
@@ -137,10 +150,10 @@ def features(piece: str, first: bool, alone: bool) -> list[int]:
         tokens += MARKED * ["\x02unknown"]
     if n <= 5:
         tokens.append("\x02short")
-    return [zlib.crc32(t.encode("utf-8", "replace")) % DIMENSIONS for t in tokens]
+    return [h % DIMENSIONS for h in (*one, *two, *three, *map(_hash, tokens))]
 
 
-def fit(rows: list[list[int]], labels: list[int], l2: float = 1e-5, rounds: int = 250, rate: float = 3.0) -> np.ndarray:
+def fit(rows: list[list[int]], labels: list[int], l2: float = 1e-5, rounds: int = 160, rate: float = 3.0) -> np.ndarray:
     """Weights (the last is the intercept) of an L2-regularised logistic regression, both classes weighing alike, by
     accelerated gradient descent."""
     y = np.asarray(labels, float)
@@ -169,6 +182,7 @@ def labelled_sample(documents: DataFrame, source: str | None = "source", docs: i
     """(source, piece, first, alone, label): the labelled pieces of at most ``docs`` documents, drawn by hash of the text."""
     host = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")
     drawn = documents.filter("text IS NOT NULL").select(host.alias("source"), "text", F.xxhash64("text").alias("h")).orderBy("h", "source").limit(docs).select("source", "text")
+    drawn = drawn.repartition(drawn.sparkSession.sparkContext.defaultParallelism)  # the sample comes in one partition
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +209,7 @@ def train(documents: DataFrame, source: str | None = "source", docs: int = SAMPL
     when divided by ``held_out`` (none if 0). Each distinct piece, digits aside, counts once; all residue is kept before the rest
     is cut to ``limit`` pieces by hash."""
     seen: dict[tuple, tuple] = {}
-    for r in labelled_sample(documents, source, docs).toLocalIterator():
+    for r in labelled_sample(documents, source, docs).collect():
         seen.setdefault((re.sub(r"\d", "0", r.piece), r.first, r.alone, zlib.crc32(r.source.encode()) % held_out == 0 if held_out else False), r)
     aside = [r for k, r in seen.items() if k[3]]
     own = sorted((r for k, r in seen.items() if not k[3]), key=lambda r: (-r.label, zlib.crc32(r.piece.encode("utf-8", "replace"))))
@@ -235,7 +249,7 @@ def residue(documents: DataFrame, weights: np.ndarray) -> DataFrame:
             hit = [is_residue(weights, t, judged) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit, pa.bool_()))], names=["doc_id"])
 
-    return documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint").distinct()
+    return spread(documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint").distinct()
 
 
 def without_residue(documents: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -243,9 +257,10 @@ def without_residue(documents: DataFrame, weights: np.ndarray) -> DataFrame:
     return documents.join(residue(documents, weights), "doc_id", "left_anti")
 
 
-def measure(weights: np.ndarray, rows: list) -> tuple:
-    """(pieces, residue, true and false positives, false negatives, precision, recall) at even odds on labelled pieces."""
-    said = [probability(weights, features(r.piece, r.first, r.alone)) >= 0.5 for r in rows]
+def measure(weights: np.ndarray, rows: list, least: float = 0.9) -> tuple:
+    """(pieces, residue, true and false positives, false negatives, precision, recall) of the classifier alone, at a
+    probability of ``least``, on labelled pieces."""
+    said = [probability(weights, features(r.piece, r.first, r.alone)) >= least for r in rows]
     tp = sum(s and r.label == 1 for s, r in zip(said, rows, strict=True))
     fp, fn = sum(said) - tp, sum(r.label == 1 for r in rows) - tp
     return len(rows), tp + fn, tp, fp, fn, round(tp / max(tp + fp, 1), 4), round(tp / max(tp + fn, 1), 4)

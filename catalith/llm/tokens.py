@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalith.session import spread
+
 #: Rank file of the default tokenizer, and the published pattern that splits text before its merges.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -72,4 +74,4 @@ def counted(documents: DataFrame, keep: list[str], ranks: str = RANKS, coordinat
                 columns += [pa.array(matrix[:, i]) for i in range(AXES)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return slim.mapInArrow(run, schema)
+    return spread(slim).mapInArrow(run, schema)
