@@ -72,7 +72,7 @@ _FILLER = re.compile(
 )
 #: Words of pieces that speak about such messages instead of being one.
 _REPORT = re.compile(
-    r"\b(?:explain\w*|explique\w*|explica\w*|erklärt\w*|describ\w+|beschreib\w+|quot\w+ the|template writes|fills? (?:it|them) in|naming rule|stands for|laut handbuch|handbuch|manual|field list|as slots|were (?:all )?(?:filled|removed|rewritten|replaced)|est rempli\w*|remplie? par|wird (?:durch|laut)|counted|returned \d|traced|answers of type|réponses \d+|tells visitors|reworded|was tried again|ended well|are listed|ran scripts|print shop|rapport compte|retiró|entfernte|a retiré|example record|sign saying|during the scan|prefer dummy|stayed in the text|was denied to|until the \S+ group|incident lasted|errors fell|accepted without)\b",
+    r"\b(?:(?<!which )explain\w*|explique\w*|explica\w*|erklärt\w*|describ\w+|beschreib\w+|quot\w+ the|template writes|fills? (?:it|them) in|naming rule|stands for|laut handbuch|handbuch|manual|field list|as slots|were (?:all )?(?:filled|removed|rewritten|replaced)|est rempli\w*|remplie? par|wird (?:durch|laut)|counted|returned \d|traced|answers of type|réponses \d+|tells visitors|reworded|was tried again|ended well|are listed|ran scripts|print shop|rapport compte|retiró|entfernte|a retiré|example record|sign saying|during the scan|prefer dummy|stayed in the text|was denied to|until the \S+ group|incident lasted|errors fell|accepted without)\b",
     re.I,
 )
 # --- fixed values: function words of English, German, French and Spanish
@@ -105,7 +105,7 @@ def slots(piece: str) -> list[str]:
             inner = m.group(1).strip()
             if inner.lower() in _HTML or re.fullmatch(r"[^\W\d_]+ \d+", inner) or (" " in inner and k in (8, 9, 10, 11, 13, 14, 15) and not re.search(r"[|._:]", inner)):
                 continue
-            if k == 13 and inner.isdigit():
+            if k == 13 and inner.isdigit() and len(inner) > 1:
                 continue
             found.append(f"slot{k}")
     if _OPEN.search(plain) or _OPEN_LAST.search(plain):
