@@ -56,7 +56,8 @@ def keep_first(df: DataFrame, identity: Sequence[Column], order: Sequence[Column
         known = known & c.isNotNull()
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     keys = [c.alias(f"__k{i}") for i, c in enumerate(identity)]
-    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.xxhash64(F.to_json(whole)).alias("tie"))
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.xxhash64(*parts).alias("tie"))
     kept = df.filter(known).select(*keys, whole.alias("__row"), place.alias("__place")).groupBy(*[f"__k{i}" for i in range(len(keys))])
     return kept.agg(F.min_by("__row", "__place").alias("__row")).select("__row.*").unionByName(df.filter(~known))
 
