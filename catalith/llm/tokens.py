@@ -23,8 +23,6 @@ from catalith.session import spread
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 AXES = 3
-#: Characters encoded at a time, cut at white space; a longer stretch without any is encoded as one.
-CHUNK = 100_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -43,7 +41,17 @@ def directions(size: int, axes: int = AXES) -> np.ndarray:
 
 
 def encode(text: str, ranks: str = RANKS) -> list[int]:
-    return encoding(ranks).encode_ordinary(text)
+    """The token ids of a whole text. The library's own splitter runs out of stack on very long runs of white space; such a text
+    is split by the same pattern here and merged piece by piece, with the same ids."""
+    enc = encoding(ranks)
+    try:
+        return enc.encode_ordinary(text)
+    except (KeyboardInterrupt, SystemExit, MemoryError):
+        raise
+    except BaseException:  # noqa: BLE001 - the library panics with a class of its own
+        import regex
+
+        return [t for m in regex.finditer(PATTERN, text) for t in enc._encode_single_piece(m.group())]
 
 
 def counted(documents: DataFrame, keep: list[str], ranks: str = RANKS, coordinates: bool = False) -> DataFrame:
@@ -61,7 +69,7 @@ def counted(documents: DataFrame, keep: list[str], ranks: str = RANKS, coordinat
         for batch in batches:
             sizes, keys, points = [], [], []
             for text in batch.column(len(keep)).to_pylist():
-                ids = enc.encode_ordinary(text)
+                ids = encode(text, ranks)
                 sizes.append(len(ids))
                 keys.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
                 if table is not None:
