@@ -101,6 +101,11 @@ def test_mixture(spark):
 
 @needs_ranks
 def test_token_counts_survive_odd_texts(spark):
-    rows = [(1, "hello world"), (2, None), (3, "<|endoftext|>"), (4, "日本語 ñ 🙂"), (5, "a" * 20000)]
+    rows = [(1, "hello world"), (2, None), (3, "<|endoftext|>"), (4, "日本語 ñ 🙂"), (5, "a" * 20000), (6, "a" + " " * 1_000_000 + "b"), (7, "\ud800 lone".encode("utf-8", "replace").decode())]
     got = {r.i: r.n_tokens for r in tokens.counted(spark.createDataFrame(rows, "i int, text string"), ["i"]).collect()}
-    assert got[1] == 2 and got[2] == 0 and got[3] > 1 and got[4] > 3 and got[5] > 100
+    assert got[1] == 2 and got[2] == 0 and got[3] > 1 and got[4] > 3 and got[5] > 100 and got[6] > 2
+    enc = tokens.encoding()
+    import regex
+
+    for text in ("It's 12 words,  with\n\n blanks\t!", "日本 語  x", "a  " * 50):
+        assert enc.encode_ordinary(text) == [t for m in regex.finditer(tokens.PATTERN, text) for t in enc._encode_single_piece(m.group())]
