@@ -49,11 +49,11 @@ def content_tokens(v: object, depth: int = 0) -> list[str]:
         sign, text = "-" if v < 0 else "", f"{abs(v):.0f}" if abs(v) < 1e300 else "huge"
         return [f"n{sign}{len(text)}", f"n{sign}{len(text)}{'low' if text < '2' else 'mid' if text < '5' else 'high'}"]
     if isinstance(v, str):
-        return [f"d{len(p)}:{p[0]}" if p[0].isdigit() else "w" + p.lower()[:40] for p in _PIECES.findall(v[:4000])] or ["empty"]
-    if depth > 3:
+        return [f"d{len(p)}:{p[0]}" if p[0].isdigit() else "w" + p.lower() for p in _PIECES.findall(v)] or ["empty"]
+    if depth > 50:
         return ["deep"]
     if isinstance(v, list):
-        return [t for x in v[:50] if x is not None for t in content_tokens(x, depth + 1)] or ["none"]
+        return [t for x in v if x is not None for t in content_tokens(x, depth + 1)] or ["none"]
     return [f"k{k}/{t}" for k, x in v.items() if x is not None for t in content_tokens(x, depth + 1)] or ["none"]
 
 
