@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.session import spread
+from catalith.session import spread, stash
 
 #: Most documents and most distinct pieces that the classifier is fitted on.
 SAMPLE_DOCS, SAMPLE_PIECES = 5000, 12000
@@ -181,8 +181,9 @@ def probability(weights: np.ndarray, row: list[int]) -> float:
 def labelled_sample(documents: DataFrame, source: str | None = "source", docs: int = SAMPLE_DOCS) -> DataFrame:
     """(source, piece, first, alone, label): the labelled pieces of at most ``docs`` documents, drawn by hash of the text."""
     host = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")
-    drawn = documents.filter("text IS NOT NULL").select(host.alias("source"), "text", F.xxhash64("text").alias("h")).orderBy("h", "source").limit(docs).select("source", "text")
-    drawn = drawn.repartition(drawn.sparkSession.sparkContext.defaultParallelism)  # the sample comes in one partition
+    texts = documents.filter("text IS NOT NULL").select(host.alias("source"), "text", F.xxhash64("text").alias("h"))
+    # The hashes are drawn first, so no task ever holds so many texts; each drawn text comes once, however often it is repeated.
+    drawn = texts.join(texts.select("h").distinct().orderBy("h").limit(docs), "h", "left_semi").groupBy("h").agg(F.min(F.struct("source", "text")).alias("d")).select("d.source", "d.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,15 +207,21 @@ def labelled_sample(documents: DataFrame, source: str | None = "source", docs: i
 
 def train(documents: DataFrame, source: str | None = "source", docs: int = SAMPLE_DOCS, limit: int = SAMPLE_PIECES, held_out: int = 0) -> tuple[np.ndarray, list]:
     """Weights fitted on the sample, and the labelled pieces of the held-out sources: those whose hash leaves 0
-    when divided by ``held_out`` (none if 0). Each distinct piece, digits aside, counts once; all residue is kept before the rest
-    is cut to ``limit`` pieces by hash."""
-    seen: dict[tuple, tuple] = {}
-    for r in labelled_sample(documents, source, docs).collect():
-        seen.setdefault((re.sub(r"\d", "0", r.piece), r.first, r.alone, zlib.crc32(r.source.encode()) % held_out == 0 if held_out else False), r)
-    aside = [r for k, r in seen.items() if k[3]]
-    own = sorted((r for k, r in seen.items() if not k[3]), key=lambda r: (-r.label, zlib.crc32(r.piece.encode("utf-8", "replace"))))
-    positive = [r for r in own if r.label][: limit // 2]
-    own = positive + [r for r in own if not r.label][: limit - len(positive)]
+    when divided by ``held_out`` (none if 0). At most ``limit`` pieces, drawn by hash, half of them residue at most, come to
+    the driver; each distinct piece, digits aside, counts once."""
+    sample = stash(labelled_sample(documents, source, docs), "labelled")
+    order = (F.xxhash64("piece"), "piece", "source", "first", "alone")
+    is_aside = F.crc32(F.col("source").cast("binary")) % held_out == 0 if held_out else F.lit(False)
+
+    def drawn(rows: DataFrame, y: int, most: int) -> list:
+        seen: dict[tuple, object] = {}
+        for r in rows.filter(F.col("label") == y).orderBy(*order).limit(most).collect():
+            seen.setdefault((re.sub(r"\d", "0", r.piece), r.first, r.alone), r)
+        return list(seen.values())
+
+    aside = drawn(sample.filter(is_aside), 1, limit // 2) + drawn(sample.filter(is_aside), 0, limit) if held_out else []
+    positive = drawn(sample.filter(~is_aside), 1, limit // 2)
+    own = positive + drawn(sample.filter(~is_aside), 0, limit)[: limit - len(positive)]
     return fit([features(r.piece, r.first, r.alone) for r in own], [r.label for r in own]), aside
 
 
