@@ -30,9 +30,9 @@ from catalith.session import spread, stash
 #: Hash buckets for content tokens of one field.
 BUCKETS = 1024
 #: Least overlap of the token histograms of a renamed field, between 0 and 1.
-SAME_CONTENT = 0.45
+SAME_CONTENT = 0.3
 #: The same for objects, whose inner structure alone makes up about half of it.
-SAME_OBJECT = 0.72
+SAME_OBJECT = 0.64
 TYPES = ("string", "integer", "float", "boolean", "array", "object")
 _PIECES = re.compile(r"[^\W\d_]+|\d+")
 
