@@ -3,9 +3,10 @@
 A text is cut into its lines and sentences. A regularised logistic regression over hashed word n-grams, slot shapes,
 length and position features scores each piece; it is trained on weak labels (response-status messages, phrases
 of the four languages, slot notations, pieces without any function word) of a bounded sample of documents,
-:data:`SAMPLE_DOCS` and :data:`SAMPLE_PIECES`, and validated on sources it has not seen. A document is a case if a piece is
-scored as residue and passes the check that follows: pieces that report, quote or explain such messages are
-no cases. Scoring covers every piece of every text and shuffles nothing.
+:data:`SAMPLE_DOCS` and :data:`SAMPLE_PIECES`, and validated on sources it has not seen. The phrases serve as labels only:
+a document is a case if a piece of any length scores :data:`DECIDED` and passes the check that follows: pieces whose
+words outside of slots and messages report, quote or explain such are no cases. Scoring covers every piece of every
+text and shuffles nothing.
 
 Defined cases: null and blank texts are no cases; repeated texts are each judged, alike; a text of any length is judged
 as a whole; without any labelled piece in the sample nothing is a case; null doc_ids give no row.
@@ -29,12 +30,12 @@ from catalith.session import spread, stash
 #: Most documents and most distinct pieces that the classifier is fitted on.
 SAMPLE_DOCS, SAMPLE_PIECES = 5000, 12000
 DIMENSIONS = 1 << 16
-#: Least probability of a piece with a weak label, and of one without.
-LABELLED, UNLABELLED = 0.02, 0.95
-#: Times that slot shapes and missing function words weigh against a word.
+#: Least probability of residue, for every piece.
+DECIDED = 0.6
+#: Times that slot shapes and missing function words weigh against a word; in longer pieces slots weigh half of all words.
 MARKED = 4
 
-_CODE = re.compile(r"\b(?=\w*\d)\w{8,}")
+_ID = re.compile(r"\b(?=\w*\d)(?=\w*[^\W\d_])\w+")
 _BREAK = re.compile(r"\s*\n+\s*|(?<=[.!?…])\s+")
 _SPACES = re.compile("[\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000\ufeff]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]")
@@ -113,6 +114,16 @@ def slots(piece: str) -> list[str]:
     return found
 
 
+def is_report(piece: str) -> bool:
+    """Whether the words outside of slots and messages speak about such."""
+    if not _REPORT.search(piece):
+        return False
+    plain = html.unescape(piece) if "&" in piece else piece
+    for pattern in (*_SLOTS, _OPEN, _OPEN_LAST, _FILLER, _SCRIPT, _ERROR):
+        plain = pattern.sub(" | ", plain)
+    return _REPORT.search(plain) is not None
+
+
 def unknown_words(words: list[str]) -> bool:
     """Five words or more, not one of them a function word."""
     own = [w for w in words if w[:1].isalpha()]
@@ -121,12 +132,12 @@ def unknown_words(words: list[str]) -> bool:
 
 def label(piece: str) -> int | None:
     """Weak label: 1 residue, 0 none (also a report of it), None undecided."""
-    if _REPORT.search(piece):
+    if is_report(piece):
         return 0
     if slots(piece) or _FILLER.search(piece) or _SCRIPT.search(piece) or _ERROR.search(piece):
         return 1
     words = _WORD.findall(piece.lower())
-    if unknown_words(words):
+    if unknown_words(_WORD.findall(_ID.sub(" ", piece.lower()))):
         return 1 if len(set(words)) > 3 and "|" not in words and "-" not in words and not any(w.isdigit() for w in words) else None
     return 0
 
@@ -139,21 +150,21 @@ def features(piece: str, first: bool, alone: bool) -> list[int]:
     one = [_hash(w) for w in words]
     two = [a * 2654435761 + b for a, b in zip(one, one[1:], strict=False)]
     three = [a * 40503 + b for a, b in zip(two, one[2:], strict=False)]
-    tokens = MARKED * ["\x01" + s for s in slots(piece)]
+    tokens = max(MARKED, n // 2) * ["\x01" + s for s in slots(piece)]
     letters = sum(map(str.isalpha, plain))
     tokens += [f"\x02n{min(n, 40).bit_length()}", f"\x02c{min(len(plain), 2000).bit_length()}", f"\x02f{first}", f"\x02a{alone}"]
     if letters and sum(map(str.isupper, plain)) > 0.7 * letters:
         tokens.append("\x02upper")
     if n <= 6 and plain[-1:] not in ".!?":
         tokens.append("\x02title")
-    if unknown_words(words):
+    if unknown_words(_WORD.findall(_ID.sub(" ", plain.lower()))):
         tokens += MARKED * ["\x02unknown"]
     if n <= 5:
         tokens.append("\x02short")
     return [h % DIMENSIONS for h in (*one, *two, *three, *map(_hash, tokens))]
 
 
-def fit(rows: list[list[int]], labels: list[int], l2: float = 1e-5, rounds: int = 160, rate: float = 3.0) -> np.ndarray:
+def fit(rows: list[list[int]], labels: list[int], l2: float = 1e-6, rounds: int = 600, rate: float = 6.0) -> np.ndarray:
     """Weights (the last is the intercept) of an L2-regularised logistic regression, both classes weighing alike, by
     accelerated gradient descent."""
     y = np.asarray(labels, float)
@@ -207,17 +218,15 @@ def labelled_sample(documents: DataFrame, source: str | None = "source", docs: i
 
 def train(documents: DataFrame, source: str | None = "source", docs: int = SAMPLE_DOCS, limit: int = SAMPLE_PIECES, held_out: int = 0) -> tuple[np.ndarray, list]:
     """Weights fitted on the sample, and the labelled pieces of the held-out sources: those whose hash leaves 0
-    when divided by ``held_out`` (none if 0). At most ``limit`` pieces, drawn by hash, half of them residue at most, come to
+    when divided by ``held_out`` (none if 0). At most ``limit`` pieces, those of most sources first and then by hash, half of them residue at most, come to
     the driver; each distinct piece, digits aside, counts once."""
     sample = stash(labelled_sample(documents, source, docs), "labelled")
-    order = (F.xxhash64("piece"), "piece", "source", "first", "alone")
     is_aside = F.crc32(F.col("source").cast("binary")) % held_out == 0 if held_out else F.lit(False)
 
     def drawn(rows: DataFrame, y: int, most: int) -> list:
-        seen: dict[tuple, object] = {}
-        for r in rows.filter(F.col("label") == y).orderBy(*order).limit(most).collect():
-            seen.setdefault((re.sub(r"\d", "0", r.piece), r.first, r.alone), r)
-        return list(seen.values())
+        one = F.min(F.struct("piece", "source", "first", "alone", "label")).alias("r")
+        kinds = rows.filter(F.col("label") == y).groupBy(F.regexp_replace("piece", r"\d", "0").alias("shape"), "first", "alone").agg(F.countDistinct("source").alias("sources"), one)
+        return [x.r for x in kinds.orderBy(F.desc("sources"), F.xxhash64("shape"), "shape", "first", "alone").limit(most).collect()]
 
     aside = drawn(sample.filter(is_aside), 1, limit // 2) + drawn(sample.filter(is_aside), 0, limit) if held_out else []
     positive = drawn(sample.filter(~is_aside), 1, limit // 2)
@@ -226,8 +235,7 @@ def train(documents: DataFrame, source: str | None = "source", docs: int = SAMPL
 
 
 def piece_is_residue(weights: np.ndarray, piece: str, first: bool, alone: bool) -> bool:
-    score = probability(weights, features(piece, first, alone))
-    return score >= LABELLED and (label(piece) == 1 or (score >= UNLABELLED and len(piece) > 20 and not _REPORT.search(piece) and not _CODE.search(piece)))
+    return probability(weights, features(piece, first, alone)) >= DECIDED and not is_report(piece)
 
 
 def is_residue(weights: np.ndarray, text: str | None, judged: dict | None = None) -> bool:
@@ -264,7 +272,7 @@ def without_residue(documents: DataFrame, weights: np.ndarray) -> DataFrame:
     return documents.join(residue(documents, weights), "doc_id", "left_anti")
 
 
-def measure(weights: np.ndarray, rows: list, least: float = 0.9) -> tuple:
+def measure(weights: np.ndarray, rows: list, least: float = DECIDED) -> tuple:
     """(pieces, residue, true and false positives, false negatives, precision, recall) of the classifier alone, at a
     probability of ``least``, on labelled pieces."""
     said = [probability(weights, features(r.piece, r.first, r.alone)) >= least for r in rows]

@@ -26,6 +26,25 @@ def test_content_is_not(text):
     assert all(R.label(p) == 0 for p in R.pieces(text))
 
 
+@pytest.mark.parametrize("text", ["[Beschreibung hier einfügen]", "{{ beschreibung }}", "[describe the damage here]"])
+def test_words_inside_a_slot_are_no_report(text):
+    assert not R.is_report(text) and R.label(text) == 1
+
+
+def test_an_id_is_no_string_of_unknown_words():
+    assert R.label("request b8304eae9c9e") == 0 and R._hash("\x02unknown") % R.DIMENSIONS not in R.features("request b8304eae9c9e", False, False)
+
+
+def test_the_score_decides_pieces_of_any_length_with_ids_and_refuses_labelled_ones():
+    negative = [f"The map {i} shows a small album of the north hall." for i in range(100)]
+    positive = [f"Vault {i}0a4f9e sealed" for i in range(30)]
+    w = R.fit([R.features(t, False, False) for t in positive + negative], [1] * 30 + [0] * 100)
+    assert R.label("Vault 77b0c1d2 sealed") == 0 and R.piece_is_residue(w, "Vault 77b0c1d2 sealed", False, False)
+    assert len("Vault 7b sealed") < 20 and R.piece_is_residue(w, "Vault 7b sealed", False, False)
+    quiet = "The map shows a small album of the north hall, temporarily unavailable."
+    assert R.label(quiet) == 1 and not R.piece_is_residue(w, quiet, False, False)
+
+
 def test_fit_separates_and_generalises():
     rng = np.random.default_rng(0)
     words = "the map shows a small album of the north hall and its ledger".split()
