@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.session import spread
+from catalith.session import spread, stash
 
 
 class Number(str):
@@ -66,12 +66,14 @@ def as_text(value: object) -> str:
 Step = str | None  # a field's name, or None for the elements of an array
 
 
-def leaf_paths(value: object) -> list[tuple[Step, ...]]:
-    """The distinct leaf paths of a value, in order of first appearance."""
+def leaf_paths(value: object, objects: bool = False) -> list[tuple[Step, ...]]:
+    """The distinct leaf paths of a value, in order of first appearance; with ``objects`` also those of its objects."""
     found: dict[tuple[Step, ...], None] = {}
 
     def visit(v: object, path: tuple[Step, ...]) -> None:
         if isinstance(v, dict) and v:
+            if objects:
+                found.setdefault(path)
             for k, x in v.items():
                 visit(x, (*path, k))
         elif isinstance(v, list) and v:
@@ -87,7 +89,7 @@ def leaf_paths(value: object) -> list[tuple[Step, ...]]:
 def levels(value: object, path: Sequence[Step]) -> tuple[list[int], list[int], list[str | None]]:
     """Repetition levels, definition levels and values of one leaf path. Each field that is there and not null
     adds one to the definition level, so does each element of an array, null or not; a last one, behind an
-    array, stands for an element that is not null."""
+    array, stands for an element that is not null, or anywhere, without a value, for an object."""
     reps: list[int] = []
     defs: list[int] = []
     values: list[str | None] = []
@@ -103,7 +105,7 @@ def levels(value: object, path: Sequence[Step]) -> tuple[list[int], list[int], l
     def walk(v: object, i: int, r: int, d: int) -> None:
         if i == len(path):
             if isinstance(v, dict | list) or v is None:
-                emit(r, d, None)
+                emit(r, d + isinstance(v, dict), None)
             else:
                 emit(r, d + (bool(path) and path[-1] is None), as_text(v))
             return
@@ -138,9 +140,10 @@ def path_text(path: Sequence[Step], positions: Sequence[int] | None = None) -> s
 SHREDDED = "steps array<string>, leaf_path string, reps array<int>, defs array<int>, leaf_values array<string>"
 
 
-def shred(df: DataFrame, record: str = "record_id", body: str = "body", roots: Sequence[Sequence[str]] = ()) -> DataFrame:
+def shred(df: DataFrame, record: str = "record_id", body: str = "body", roots: Sequence[Sequence[str]] = (), objects: bool = False) -> DataFrame:
     """(record_id, steps, leaf_path, reps, defs, leaf_values): one row per record and leaf path. ``steps`` are the
-    names of the path, null for the elements of an array. With ``roots``, only leaves below these fields."""
+    names of the path, null for the elements of an array. With ``roots``, only leaves below these fields; with ``objects`` every object
+    has a column too."""
     schema = pa.schema([("record_id", pa.string()), ("steps", pa.list_(pa.string())), ("leaf_path", pa.string()), ("reps", pa.list_(pa.int32())), ("defs", pa.list_(pa.int32())), ("leaf_values", pa.list_(pa.string()))])
     wanted = [tuple(r) for r in roots]
 
@@ -150,7 +153,7 @@ def shred(df: DataFrame, record: str = "record_id", body: str = "body", roots: S
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     value = decode(text)
-                    paths = leaf_paths(value)
+                    paths = leaf_paths(value, objects)
                     if wanted:
                         paths = [p for p in paths if any(p[: len(w)] == w for w in wanted)]
                     for p in paths:
@@ -222,18 +225,44 @@ def rebuild(shredded: DataFrame, name: str | None = None) -> DataFrame:
 
 
 def flat_table(shredded: DataFrame, fields: Sequence[str], below: str = "") -> DataFrame:
-    """(record_id, row_path, parent_path, place, one column per field): the flat table of the rows below ``below``
-    that have any of ``fields``, with the path of the row that holds each row and its place there."""
-    leaves = rebuild(shredded.filter(F.element_at("steps", -1).isin(list(fields))))
-    named = leaves.withColumn("field", F.regexp_extract("leaf_path", r"([^.\[\]]+)(\[\])*$", 1)).filter(F.col("field").isin(list(fields)))
-    if below:
-        named = named.filter(F.col("leaf_path").startswith(below))
-    holder = F.regexp_replace("node_path", r"\.?[^.\[\]]+(\[\d+\])*$", "")
-    rows = named.withColumn("row_path", holder)
-    parent = F.regexp_replace("row_path", r"\.?[^.\[\]]+(\[\d+\])*$", "")
+    """(record_id, row_path, parent_path, place, one column per field): the flat table of the rows below ``below``,
+    with the path of the row that holds each row (empty if the record does) and its place there.
+
+    A row is whatever holds a value of ``fields``, every element of an array around it, and, of a table shredded with
+    ``objects``, every object where some record has such a holder or element; ``fields`` may all be null in it.
+    """
+    schema = pa.schema([("record_id", pa.string()), ("row_path", pa.string()), ("shape", pa.string()), ("around", pa.list_(pa.string())), ("field", pa.string()), ("leaf_value", pa.string())])
+    wanted = set(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for rid, steps, reps, defs, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                f = max((i for i, x in enumerate(steps) if x is not None), default=-1)
+                field = steps[f] if f >= 0 and steps[f] in wanted else None
+                arrays = [k for k in range(1, f) if steps[k - 1] is None] if field else []
+
+                def row(k: int, at: list[int], name: str | None, v: str | None) -> None:
+                    around = [path_text(steps[:i], at) for i in range(k - 1, 0, -1)]  # noqa: B023
+                    rows.append((rid, path_text(steps[:k], at), path_text(steps[:k]), around, name, v))  # noqa: B023
+
+                if field:  # where such rows may stand, whether this record has any or not
+                    rows += [(None, None, path_text(steps[:k]), None, None, None) for k in {*arrays, f}]
+                for at, d, v in zip(positions(steps, reps, defs), defs, values, strict=True):
+                    if at is not None and v is not None and field:
+                        row(f, at, field, v)
+                        for k in arrays:
+                            row(k, at, None, None)
+                    elif at is not None and v is None and d > len(steps):
+                        row(len(steps), at, None, None)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    found = shredded.filter(F.col("leaf_path").startswith(below)) if below else shredded
+    found = stash(found.select("record_id", "steps", "reps", "defs", "leaf_values").mapInArrow(run, "record_id string, row_path string, shape string, around array<string>, field string, leaf_value string"), "flat")
+    rows = found.filter("row_path IS NOT NULL").join(found.filter("row_path IS NULL").select("shape").distinct(), "shape", "left_semi")
+    rows = rows.groupBy("record_id", "row_path").agg(F.first("around").alias("around"), *[F.min(F.when(F.col("field") == f, F.col("leaf_value"))).alias(f"value_{i}") for i, f in enumerate(fields)])
+    up = rows.select("record_id", "row_path", F.posexplode("around").alias("far", "parent_path"))
+    up = up.join(rows.select("record_id", F.col("row_path").alias("parent_path")), ["record_id", "parent_path"], "left_semi").groupBy("record_id", "row_path").agg(F.min_by("parent_path", "far").alias("parent_path"))
     place = F.expr("try_cast(regexp_extract(row_path, '\\\\[(\\\\d+)\\\\]$', 1) AS INT)")
-    return (
-        rows.groupBy("record_id", "row_path")
-        .agg(*[F.min(F.when(F.col("field") == f, F.col("leaf_value"))).alias(f) for f in fields])
-        .select("record_id", "row_path", parent.alias("parent_path"), place.alias("place"), *fields)
-    )
+    return rows.join(up, ["record_id", "row_path"], "left").select("record_id", "row_path", F.coalesce("parent_path", F.lit("")).alias("parent_path"), place.alias("place"), *[F.col(f"value_{i}").alias(f) for i, f in enumerate(fields)])

@@ -26,12 +26,12 @@ def p2_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_items(spark: SparkSession, folder: str) -> DataFrame:
     """The flat table of items: each names its record, the row that holds it and its place there."""
-    return shred.flat_table(shred.shred(table(spark, folder, "complex_orders"), roots=[("items",)]), ["product_id", "quantity"])
+    return shred.flat_table(shred.shred(table(spark, folder, "complex_orders"), roots=[("items",)], objects=True), ["product_id", "quantity"])
 
 
 def p2_hosts(spark: SparkSession, folder: str) -> DataFrame:
     """The flat table of database hosts with their ports."""
-    return shred.flat_table(shred.shred(table(spark, folder, "nested_config"), roots=[("config", "database")]), ["host", "port"])
+    return shred.flat_table(shred.shred(table(spark, folder, "nested_config"), roots=[("config", "database")], objects=True), ["host", "port"])
 
 
 def p3_reasons(spark: SparkSession, folder: str) -> DataFrame:

@@ -54,6 +54,21 @@ def test_json_text_numbers_and_unreadable(spark):
     assert flat["r3", "items[0].components[0]"] == ("items[0]", 0, "5")
 
 
+def test_rows_without_any_field_keep_the_links_whole(spark):
+    bodies = [
+        ("a", '{"items": [{"group": "g", "items": [{"product_id": 1}, {"price": 2}]}, null, {"product_id": null}, {"options": {"marks": [{"at": 1}]}}]}'),
+        ("b", '{"items": {}}'),
+        ("c", '{"items": []}'),
+        ("d", '{"items": {"product_id": 4, "via": {"components": [{"quantity": 3}]}}}'),
+    ]
+    df = spark.createDataFrame(bodies, "record_id string, body string")
+    got = {tuple(r) for r in S.flat_table(S.shred(df, roots=[("items",)], objects=True), ["product_id", "quantity"]).collect()}
+    assert got == {
+        ("a", "items[0]", "", 0, None, None), ("a", "items[0].items[0]", "items[0]", 0, "1", None), ("a", "items[0].items[1]", "items[0]", 1, None, None), ("a", "items[2]", "", 2, None, None), ("a", "items[3]", "", 3, None, None),
+        ("b", "items", "", None, None, None), ("d", "items", "", None, "4", None), ("d", "items.via.components[0]", "items", 0, None, "3"),
+    }
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "record_id string, body string")
     assert S.rebuild(S.shred(df)).count() == 0 and S.flat_table(S.shred(df), ["x"]).count() == 0
