@@ -18,7 +18,7 @@ import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -152,12 +152,54 @@ def canonical_names(changes: DataFrame) -> DataFrame:
     return changes.filter("change_kind = 'renamed'").groupBy("feed").applyInPandas(fold, "feed string, from_no int, name string, canonical string")
 
 
-def unified_feed_table(df: DataFrame, changes: DataFrame, schema: dict[str, str]) -> DataFrame:
-    """(record_id, feed, file_no, line_no, one typed column per field, failed_casts): all readable lines in one table.
+def derived_schema(stats: DataFrame, changes: DataFrame, preferred: Sequence[str] = (), most: int = 1000) -> tuple[dict[str, str], dict[str, str]]:
+    """The columns of one table of all feeds with their types, and the column of each field name.
 
-    A field that was renamed in its feed runs under its first name. ``schema`` gives the wanted fields and types; a
-    value that cannot be cast is null and listed in ``failed_casts`` as ``field=value``. Of several names of one field
-    in a line, the one that sorts first counts.
+    Names that any feed has renamed into one another, which the content of the fields decides, are one column. It has
+    the first of the ``preferred`` names among them, else that of most values, and the type of most of its values
+    (arrays and objects as JSON text). Fields beyond the ``most`` frequent, names that only case tells from a more
+    frequent column, and those of the table's own columns get no column and stay in its map.
+    """
+    rows = stats.filter("token = -1").groupBy("field").pivot("type", list(TYPES)).agg(F.sum("weight")).fillna(0.0)
+    rows = rows.orderBy(F.desc(sum(F.col(t) for t in TYPES)), "field").limit(most).collect()
+    count = {r.field: [r[t] for t in TYPES] for r in rows}
+    root: dict[str, str] = {}
+
+    def find(name: str) -> str:
+        while name in root:
+            name = root[name]
+        return name
+
+    pairs = changes.filter("change_kind = 'renamed'").select("old_name", "new_name").distinct()
+    for a, b in sorted((r.old_name, r.new_name) for r in pairs.filter(F.col("old_name").isin(list(count)) & F.col("new_name").isin(list(count))).collect()):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+    groups: dict[str, list[str]] = {}
+    for name in count:
+        groups.setdefault(find(name), []).append(name)
+    schema: dict[str, str] = {}
+    column: dict[str, str] = {}
+    taken = {"record_id", "feed", "file_no", "line_no", "failed_casts", "rest"}
+    for names in groups.values():
+        name = next((p for p in preferred if p in names), names[0])
+        if name.lower() in taken:
+            continue
+        taken.add(name.lower())
+        n = dict(zip(TYPES, map(sum, zip(*(count[x] for x in names), strict=True)), strict=True))
+        kind = max(TYPES, key=lambda t: n[t])
+        numeric = "double" if n["float"] > 0.01 * sum(n.values()) else "bigint"
+        schema[name] = {"integer": numeric, "float": "double", "boolean": "boolean"}.get(kind, "string")
+        column |= dict.fromkeys(names, name)
+    return schema, column
+
+
+def unified_feed_table(df: DataFrame, changes: DataFrame, schema: dict[str, str], column: dict[str, str] | None = None) -> DataFrame:
+    """(record_id, feed, file_no, line_no, one typed column per field, failed_casts, rest): all readable lines in one table.
+
+    A field that was renamed in its feed runs under its first name, and that in the column that ``column`` gives it.
+    ``schema`` gives the wanted fields and types; a value that cannot be cast is null and listed in ``failed_casts`` as
+    ``field=value``. Of several names of one field in a line, the one that sorts first counts. ``rest`` has every
+    value that is in no column, under its own name.
     """
     names = canonical_names(changes)
     last = F.coalesce(F.lead("from_no").over(W.partitionBy("feed", "name").orderBy("from_no")) - 1, F.lit(2**31 - 1))
@@ -166,11 +208,19 @@ def unified_feed_table(df: DataFrame, changes: DataFrame, schema: dict[str, str]
     files = raw.select("feed", "file_no").distinct()
     ranges = files.join(names, (files.feed == names.feed) & (files.file_no >= names.from_no) & (files.file_no <= names.to_no)).groupBy(files.feed, files.file_no).agg(F.map_from_entries(F.collect_list(F.struct("name", "canonical"))).alias("renamed"))
     lines = raw.join(ranges, ["feed", "file_no"], "left")
-    own = lambda name: F.map_filter("m", lambda k, v: F.coalesce(F.element_at(F.coalesce("renamed", F.expr("map()").cast("map<string,string>")), k), k) == name)
+    none = F.expr("map()").cast("map<string,string>")
+    known = F.create_map(*[F.lit(x) for pair in column.items() for x in pair]) if column else none
+    first = lambda k: F.coalesce(F.element_at(F.coalesce("renamed", none), k), k)
+    entry = lambda e: F.struct(F.coalesce(F.element_at(known, first(e["key"])), first(e["key"])).alias("field"), e["key"].alias("name"), e["value"].alias("value"))
+    lines = lines.withColumn("entries", F.array_sort(F.transform(F.filter(F.map_entries("m"), lambda e: e["value"].isNotNull()), entry)))
+    before = lambda i, part: F.get(F.col("entries"), i - 1)[part]
+    is_rest = lambda e, i: (~e["field"].isin(list(schema)) | before(i, "field").eqNullSafe(e["field"])) & ~before(i, "name").eqNullSafe(e["name"])
+    own = lambda name: F.get(F.filter("entries", lambda e: e["field"] == name), F.lit(0))["value"]
     cols, failed = [], []
     for name, kind in schema.items():
-        value = F.when(F.size(own(name)) > 0, F.get(F.transform(F.array_sort(F.map_entries(own(name))), lambda e: e["value"]), F.lit(0)))
+        value = own(name)
         cast = value.try_cast(kind)
         cols.append(cast.alias(name))
         failed.append(F.when(value.isNotNull() & cast.isNull(), F.concat(F.lit(name + "="), value)))
-    return lines.select("record_id", "feed", "file_no", "line_no", *cols, F.array_compact(F.array(*failed)).alias("failed_casts"))
+    rest = F.map_from_entries(F.transform(F.filter("entries", is_rest), lambda e: F.struct(e["name"], e["value"])))
+    return lines.select("record_id", "feed", "file_no", "line_no", *cols, F.array_compact(F.array(*failed)).alias("failed_casts"), rest.alias("rest"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.operators import deliveries, drift, shred, spikes
+from catalith.session import stash
 from catalith.sources.tables import table
 
 
@@ -49,9 +50,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, folder: str) -> DataFrame:
-    """All readable lines as one table, renamed fields under their first name, with the casts that failed."""
+    """All readable lines as one table with every field, synonyms of all feeds in one column, and the casts that failed."""
     events = table(spark, folder, "unstable_events")
-    return drift.unified_feed_table(events, drift.file_changes(events), {"event": "string", "session_duration": "double", "referrer": "string", "campaign": "string"})
+    stats = stash(drift.file_statistics(events), "statistics")
+    changes = stash(drift.file_changes(events, stats=stats), "changes")
+    return drift.unified_feed_table(events, changes, *drift.derived_schema(stats, changes, ("event", "session_duration", "referrer", "campaign")))
 
 
 def _identities(spark: SparkSession, folder: str) -> dict[str, tuple]:

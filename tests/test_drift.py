@@ -24,6 +24,20 @@ def test_changes(spark):
     assert all(r.failed_casts == ["fresh=true"] for r in last)
 
 
+def test_every_value_is_in_a_column_or_in_the_map(spark):
+    words = ["login", "logout", "signup"]
+    f = lines("f", 1, [{"event": words[i % 3], "n": i, "Feed": "own"} for i in range(30)]) + lines("f", 2, [{"evt": words[i % 3], "n": i} for i in range(30)])
+    g = lines("g", 1, [{"evt": words[0], "n": "many"}, {"evt": words[1], "event": words[2], "nul": None}])
+    df = spark.createDataFrame(f + g, "record_id bigint, feed string, file_no int, line_no int, body string, token string")
+    stats, changes = R.file_statistics(df), R.file_changes(df)
+    schema, column = R.derived_schema(stats, changes, ("event",))
+    assert schema == {"event": "string", "n": "bigint"} and column == {"event": "event", "evt": "event", "n": "n"}
+    out = R.unified_feed_table(df, changes, schema, column).collect()
+    got = {(r.event, r.n, tuple(r.failed_casts), tuple(r.rest.items())) for r in out if r.feed == "g"}
+    assert got == {("login", None, ("n=many",), ()), ("signup", None, (), (("evt", "logout"),))}
+    assert all(r.rest == {"Feed": "own"} for r in out if (r.feed, r.file_no) == ("f", 1)) and all(r.event in words for r in out)
+
+
 def test_empty_and_ties(spark):
     schema = "record_id bigint, feed string, file_no int, line_no int, body string"
     assert R.file_changes(spark.createDataFrame([], schema)).count() == 0
