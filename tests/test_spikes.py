@@ -61,3 +61,51 @@ def test_resting_sensors_units_and_empty(spark):
     unknown = as_rows([1e6, 2e6, 1.5e6], "u", "kelvin", 7000)
     assert run(spark, rows + missing + unknown) == {(50, "spike"), (5010, "range")}
     assert run(spark, []) == set()
+
+
+def daily(n=720, seed=1):
+    """Hourly readings with the same sharp profile every day: no level of the readings around explains them."""
+    rng = np.random.default_rng(seed)
+    profile = np.array([0, 9, -6, 12, -11, 5, 14, -3, 8, -13, 2, 11, -7, 6, -9, 13, -4, 10, -12, 3, 7, -8, 1, -5], float)
+    day = np.arange(n) // 24
+    return 20 + profile[np.arange(n) % 24] * (1 + 0.1 * np.sin(day)) + rng.normal(0, 0.2, n)
+
+
+def hourly(values):
+    base = dt.datetime(2024, 1, 1)
+    return [(i, "s", float(v), "celsius", (base + dt.timedelta(hours=i)).strftime("%Y-%m-%dT%H:%M:%SZ"), None, base) for i, v in enumerate(values)]
+
+
+def test_the_low_rank_part_decides(spark, monkeypatch):
+    v = daily()
+    planted = [100, 311, 312, 500]
+    v[planted] += [5, -6, -6, 7]
+    assert run(spark, hourly(v)) == {(i, "spike") for i in planted}
+    t = np.arange(len(v), dtype=np.int64) * 3_600_000_000
+    p = lambda: S.Piece(np.arange(len(v)), t, v, np.ones(len(v), bool), np.zeros(len(v), np.int16), [(-89.0, 75.0, False)], (0, int(t[-1]), len(t)))
+    assert np.flatnonzero(S.whole(p())).tolist() == planted
+    monkeypatch.setattr(S, "profile_residual", lambda t, deviation, *rest: deviation.copy())
+    assert np.flatnonzero(S.whole(p())).tolist() == []  # without it the profile hides them all
+    monkeypatch.undo()
+    monkeypatch.setattr(S, "low_rank", lambda matrix, *rest: np.zeros_like(matrix))
+    assert np.flatnonzero(S.whole(p())).tolist() == []
+
+
+def test_a_cut_sensor_equals_the_whole(spark):
+    v = series(4000, 7)
+    rng = np.random.default_rng(8)
+    v[rng.choice(4000, 40, replace=False)] += rng.choice([-1, 1], 40) * rng.uniform(2, 12, 40)
+    v[995:1010] = v[995]  # a stuck stretch over a cut
+    v[2500:] += 4
+    rows = as_rows(v)
+    rows = [(*r[:3], None if i % 900 > 700 else r[3], *r[4:]) for i, r in enumerate(rows)] + as_rows(series(100, 9), "other", "kelvin", 9000)
+    whole = run(spark, rows)
+    assert {k for _, k in whole} == {"spike", "stuck"}
+    assert run(spark, rows, piece=500) == whole
+    assert run(spark, rows, piece=1000) == whole
+
+
+def test_where_changes_are_rare_nothing_is_stuck(spark):
+    v = np.repeat(series(60, 10), 40)[:2000]  # values that usually stay for 40 readings
+    rows = as_rows(v)
+    assert run(spark, rows) == run(spark, rows, piece=400)
