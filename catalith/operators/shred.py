@@ -66,63 +66,99 @@ def as_text(value: object) -> str:
 Step = str | None  # a field's name, or None for the elements of an array
 
 
-def leaf_paths(value: object, objects: bool = False) -> list[tuple[Step, ...]]:
-    """The distinct leaf paths of a value, in order of first appearance; with ``objects`` also those of its objects."""
-    found: dict[tuple[Step, ...], None] = {}
+class _Node:
+    """A step of the leaf paths of a record: the column that ends here, if any, the steps that follow, and all columns from here on."""
+
+    __slots__ = ("column", "kids", "below")
+
+    def __init__(self) -> None:
+        self.column: tuple[list[int], list[int], list[str | None]] | None = None
+        self.kids: dict[Step, _Node] = {}
+        self.below: list[tuple] = []
+
+
+def columns(value: object, roots: Sequence[Sequence[str]] = (), objects: bool = False) -> dict[tuple[Step, ...], tuple[list[int], list[int], list[str | None]]]:
+    """The leaf paths of a value, in order of first appearance, each with its repetition levels, definition levels and values.
 
-    def visit(v: object, path: tuple[Step, ...]) -> None:
+    Each field that is there and not null adds one to the definition level, so does each element of an array, null or not; a last
+    one, behind an array, stands for an element that is not null, or anywhere, without a value, for an object. One
+    walk finds the paths, a second one fills all columns. With ``roots`` only paths below these fields, with ``objects`` those of objects too.
+    """
+    found: dict[tuple[Step, ...], tuple] = {}
+    top = _Node()
+
+    def add(node: _Node, path: tuple[Step, ...]) -> None:
+        if node.column is None:
+            node.column = found[path] = ([], [], [])
+
+    def visit(v: object, node: _Node, path: tuple[Step, ...]) -> None:
         if isinstance(v, dict) and v:
             if objects:
-                found.setdefault(path)
+                add(node, path)
             for k, x in v.items():
-                visit(x, (*path, k))
+                visit(x, node.kids.setdefault(k, _Node()), (*path, k))
         elif isinstance(v, list) and v:
+            kid = node.kids.setdefault(None, _Node())
             for x in v:
-                visit(x, (*path, None))
+                visit(x, kid, (*path, None))
         else:
-            found.setdefault(path)
-
-    visit(value, ())
-    return list(found)
+            add(node, path)
+
+    if roots:
+        for root in roots:
+            v, node = value, top
+            for k in root:
+                if not isinstance(v, dict) or k not in v:
+                    break
+                v, node = v[k], node.kids.setdefault(k, _Node())
+            else:
+                visit(v, node, tuple(root))
+    else:
+        visit(value, top, ())
+
+    def gather(node: _Node) -> list[tuple]:
+        node.below = [*([node.column] if node.column else []), *(c for kid in node.kids.values() for c in gather(kid))]
+        return node.below
+
+    gather(top)
+
+    def absent(node: _Node, r: int, d: int) -> None:
+        for reps, defs, values in node.below:
+            reps.append(r)
+            defs.append(d)
+            values.append(None)
+
+    def walk(v: object, node: _Node, r: int, d: int, arrays: int, element: bool) -> None:
+        if node.column is not None:
+            reps, defs, values = node.column
+            reps.append(r)
+            empty = v is None or isinstance(v, dict | list)
+            defs.append(d + (isinstance(v, dict) if empty else element))
+            values.append(None if empty else as_text(v))
+        for step, kid in node.kids.items():
+            if step is None:
+                if isinstance(v, list) and v:
+                    for j, x in enumerate(v):
+                        walk(x, kid, arrays + 1 if j else r, d + 1, arrays + 1, True)
+                else:
+                    absent(kid, r, d)
+            elif isinstance(v, dict) and v.get(step) is not None:
+                walk(v[step], kid, r, d + 1, arrays, False)
+            else:
+                absent(kid, r, d)
 
+    walk(value, top, 0, 0, 0, False)
+    return found
 
-def levels(value: object, path: Sequence[Step]) -> tuple[list[int], list[int], list[str | None]]:
-    """Repetition levels, definition levels and values of one leaf path. Each field that is there and not null
-    adds one to the definition level, so does each element of an array, null or not; a last one, behind an
-    array, stands for an element that is not null, or anywhere, without a value, for an object."""
-    reps: list[int] = []
-    defs: list[int] = []
-    values: list[str | None] = []
-    depth = [0]
-    for step in path:
-        depth.append(depth[-1] + (step is None))
 
-    def emit(r: int, d: int, v: str | None) -> None:
-        reps.append(r)
-        defs.append(d)
-        values.append(v)
+def leaf_paths(value: object, objects: bool = False) -> list[tuple[Step, ...]]:
+    """The distinct leaf paths of a value, in order of first appearance; with ``objects`` also those of its objects."""
+    return list(columns(value, objects=objects))
 
-    def walk(v: object, i: int, r: int, d: int) -> None:
-        if i == len(path):
-            if isinstance(v, dict | list) or v is None:
-                emit(r, d + isinstance(v, dict), None)
-            else:
-                emit(r, d + (bool(path) and path[-1] is None), as_text(v))
-            return
-        step = path[i]
-        if step is None:
-            if isinstance(v, list) and v:
-                for j, x in enumerate(v):
-                    walk(x, i + 1, depth[i + 1] if j else r, d + 1)
-            else:
-                emit(r, d, None)
-        elif isinstance(v, dict) and v.get(step) is not None:
-            walk(v[step], i + 1, r, d + 1)
-        else:
-            emit(r, d, None)
 
-    walk(value, 0, 0, 0)
-    return reps, defs, values
+def levels(value: object, path: Sequence[Step]) -> tuple[list[int], list[int], list[str | None]]:
+    """Repetition levels, definition levels and values of one leaf path."""
+    return columns(value)[tuple(path)]
 
 
 def path_text(path: Sequence[Step], positions: Sequence[int] | None = None) -> str:
@@ -152,13 +188,7 @@ def shred(df: DataFrame, record: str = "record_id", body: str = "body", roots: S
             rows = []
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    value = decode(text)
-                    paths = leaf_paths(value, objects)
-                    if wanted:
-                        paths = [p for p in paths if any(p[: len(w)] == w for w in wanted)]
-                    for p in paths:
-                        r, d, v = levels(value, p)
-                        rows.append((rid, list(p), path_text(p), r, d, v))
+                    rows += [(rid, list(p), path_text(p), *c) for p, c in columns(decode(text), wanted, objects).items()]
                 except (ValueError, RecursionError):
                     continue
                 if len(rows) >= 2000:

@@ -34,6 +34,35 @@ def test_levels_rebuild_every_leaf(value):
     assert sorted(set(got)) == sorted(set(brute(value))) and len(got) == len(set(got))
 
 
+def one_path(value, path):
+    """Levels by their definition, from the root for one path alone."""
+    out = []
+
+    def walk(v, i, r, d):
+        if i == len(path):
+            empty = v is None or isinstance(v, dict | list)
+            out.append((r, d + (isinstance(v, dict) if empty else bool(path) and path[-1] is None), None if empty else S.as_text(v)))
+        elif path[i] is None and isinstance(v, list) and v:
+            for j, x in enumerate(v):
+                walk(x, i + 1, sum(s is None for s in path[: i + 1]) if j else r, d + 1)
+        elif path[i] is not None and isinstance(v, dict) and v.get(path[i]) is not None:
+            walk(v[path[i]], i + 1, r, d + 1)
+        else:
+            out.append((r, d, None))
+
+    walk(value, 0, 0, 0)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(names, values, max_size=3), st.booleans())
+def test_all_columns_at_once_equal_one_by_one(value, objects):
+    for path, column in S.columns(value, objects=objects).items():
+        assert list(zip(*column, strict=True)) == one_path(value, path)
+    below = S.columns(value, [("items",)], objects)
+    assert below == {p: c for p, c in S.columns(value, objects=objects).items() if p[:1] == ("items",)}
+
+
 def test_json_text_numbers_and_unreadable(spark):
     bodies = [
         ("r1", '{"items": "[{\\"product_id\\": 1.0, \\"q\\": [1, null]}]", "order_id": 7}'),
