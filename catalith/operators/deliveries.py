@@ -1,9 +1,9 @@
 """Exactly one copy of messages that were delivered at least once.
 
-One hash aggregation by identity keeps, with ``min_by``, the delivery that came first. Both arguments of
-``min_by`` are fixed-width when there is one ordering column, so Spark aggregates in hash maps on the map side
-and a message that makes up a third of all rows shrinks to one row per map task before the shuffle. Surplus
-copies are then an anti join on the delivery number, a key without skew, in place of a join on the identity.
+One aggregation by identity keeps, with ``min_by`` over a struct of the delivery's order, its time and the number of the delivery as
+the tie-break, the delivery that came first. It carries these columns only and combines in the map tasks, so a message that makes up a
+third of all rows shrinks to one row per map task before the shuffle. Surplus copies are then an anti join on the delivery number, a
+key without skew, in place of a join on the identity, and the rows kept an anti join with those surplus copies.
 
 Defined cases: a row without identity (null in every identity column that has no default) is never a copy;
 rows repeated in full count as one row; an empty table gives an empty table; extra columns pass through.
@@ -32,14 +32,11 @@ def uuid_value(text: Column) -> Column:
     return F.when(digits.rlike("^[0-9a-f]{32}$"), digits).otherwise(F.concat(F.lit("text:"), stripped(text)))
 
 
-def _ordering(order: Sequence[Column]) -> Column:
-    return order[0] if len(order) == 1 else F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-
-
 def first_deliveries(df: DataFrame, identity: Sequence[Column], order: Sequence[Column], delivery: str) -> DataFrame:
     """(one column ``k0, k1, …`` per identity column, ``delivery``): the delivery kept of each identity."""
     keys = [c.alias(f"k{i}") for i, c in enumerate(identity)]
-    slim = df.select(*keys, F.col(delivery).alias("delivery"), _ordering(order).alias("place"))
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(delivery).alias("tie"))
+    slim = df.select(*keys, F.col(delivery).alias("delivery"), place.alias("place"))
     return slim.groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.min_by("delivery", "place").alias("delivery"))
 
 
@@ -71,3 +68,13 @@ def surplus_deliveries(df: DataFrame, identity: Sequence[Column], order: Sequenc
     kept = first_deliveries(rows, identity, order, delivery).select("delivery", _key([F.col(f"k{i}") for i in range(len(identity))]).alias("of"))
     every = rows.select(F.col(delivery).alias("delivery"), _key(identity).alias("of"))
     return every.join(kept, ["delivery", "of"], "left_anti").select(F.col("delivery").alias(delivery)).distinct()
+
+
+def kept_deliveries(df: DataFrame, identity: Sequence[Column], order: Sequence[Column], delivery: str) -> DataFrame:
+    """All columns of the rows that remain when the surplus copies are gone. Only identities, order and delivery numbers are aggregated;
+    whole rows meet the surplus numbers once. Of rows under the same delivery number, repeats in full, one remains."""
+    surplus = surplus_deliveries(df, identity, order, delivery).select(F.col(delivery).alias("__no"))
+    repeated = df.groupBy(F.col(delivery).alias("__no")).count().filter("count > 1 AND __no IS NOT NULL").select("__no")
+    once = df.join(surplus.unionByName(repeated), F.col(delivery) == F.col("__no"), "left_anti")
+    again = df.join(repeated, F.col(delivery) == F.col("__no"), "left_semi").join(surplus, F.col(delivery) == F.col("__no"), "left_anti")
+    return once.unionByName(again.dropDuplicates([delivery]))

@@ -58,23 +58,25 @@ def p5_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _identities(spark: SparkSession, folder: str) -> dict[str, tuple]:
+    """The rows, the identity and the order of delivery of each origin."""
     return {
-        "queue_message": (table(spark, folder, "queue_message"), [deliveries.uuid_value(F.col("job_id")), F.coalesce("retry_count", F.lit(0))]),
-        "asset_raw": (table(spark, folder, "asset_raw"), [deliveries.stripped(F.col("request_id")), F.coalesce("part_id", F.lit(""))]),
+        "queue_message": (table(spark, folder, "queue_message"), [deliveries.uuid_value(F.col("job_id")), F.coalesce("retry_count", F.lit(0))], [F.col("arrival_no"), F.col("received_at")]),
+        "asset_raw": (table(spark, folder, "asset_raw"), [deliveries.stripped(F.col("request_id")), F.coalesce("part_id", F.lit(""))], [F.col("arrival_no"), F.col("created_at")]),
     }
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The surplus copies among queue messages and raw uploads."""
-    parts = [deliveries.surplus_deliveries(rows, identity, [F.col("arrival_no")], "arrival_no").select(F.lit(origin).alias("origin"), "arrival_no") for origin, (rows, identity) in _identities(spark, folder).items()]
+    parts = [deliveries.surplus_deliveries(rows, identity, order, "arrival_no").select(F.lit(origin).alias("origin"), "arrival_no") for origin, (rows, identity, order) in _identities(spark, folder).items()]
     return parts[0].unionByName(parts[1])
 
 
 def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
-    """The one copy of each queue message that remains."""
-    rows, identity = _identities(spark, folder)["queue_message"]
-    kept = deliveries.keep_first(rows, identity, [F.col("arrival_no")])
-    return kept.select("arrival_no", "batch_no", "job_id", "request_id", "job_type", "priority", "retry_count")
+    """The one copy of each queue message and of each raw upload that remains."""
+    kept = {origin: deliveries.kept_deliveries(rows, identity, order, "arrival_no") for origin, (rows, identity, order) in _identities(spark, folder).items()}
+    queue = kept["queue_message"].select(F.lit("queue_message").alias("origin"), "arrival_no", "batch_no", F.col("job_id").alias("message"), F.col("retry_count").cast("string").alias("part"), "request_id", F.col("job_type").alias("kind"))
+    raw = kept["asset_raw"].select(F.lit("asset_raw").alias("origin"), "arrival_no", "batch_no", F.col("id").alias("message"), F.col("part_id").alias("part"), "request_id", F.col("content_type").alias("kind"))
+    return queue.unionByName(raw)
 
 
 _UUID = r"""CASE WHEN regexp_full_match(regexp_replace(regexp_replace(regexp_replace(lower(job_id), '^\s+|\s+$', '', 'g'), '^\{?(urn:)?(uuid:)?', ''), '[{}\-]', '', 'g'), '[0-9a-f]{32}')
@@ -86,8 +88,10 @@ SQL = {
   FROM (SELECT arrival_no, {_UUID} AS k, coalesce(retry_count, 0) AS r FROM queue_message) WHERE k IS NOT NULL) WHERE rn > 1
 UNION ALL SELECT 'asset_raw', arrival_no FROM (SELECT arrival_no, row_number() OVER (PARTITION BY k, p ORDER BY arrival_no) AS rn
   FROM (SELECT arrival_no, regexp_replace(request_id, '^\s+|\s+$', '', 'g') AS k, coalesce(part_id, '') AS p FROM asset_raw) WHERE k IS NOT NULL) WHERE rn > 1""",
-    "p6_kept": rf"""SELECT arrival_no, batch_no, job_id, request_id, job_type, priority, retry_count FROM (SELECT *, row_number() OVER (PARTITION BY k, coalesce(retry_count, 0) ORDER BY arrival_no) AS rn
-  FROM (SELECT *, {_UUID} AS k FROM queue_message)) WHERE rn = 1 OR k IS NULL""",
+    "p6_kept": rf"""SELECT 'queue_message' AS origin, arrival_no, batch_no, job_id AS message, retry_count::VARCHAR AS part, request_id, job_type AS kind
+  FROM (SELECT *, row_number() OVER (PARTITION BY k, coalesce(retry_count, 0) ORDER BY arrival_no) AS rn FROM (SELECT *, {_UUID} AS k FROM queue_message)) WHERE rn = 1 OR k IS NULL
+UNION ALL SELECT 'asset_raw', arrival_no, batch_no, id, part_id, request_id, content_type
+  FROM (SELECT *, row_number() OVER (PARTITION BY k, coalesce(part_id, '') ORDER BY arrival_no) AS rn FROM (SELECT *, regexp_replace(request_id, '^\s+|\s+$', '', 'g') AS k FROM asset_raw)) WHERE rn = 1 OR k IS NULL""",
 }
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_orders, p2_items, p2_hosts, p3_found, p3_reasons, p5_found, p5_table, p6_found, p6_kept)}

@@ -29,6 +29,9 @@ def test_surplus_equals_brute_force_with_hot_key_and_clashing_columns(spark):
     kept = D.keep_first(df, identity, [F.col("arrival_no")])
     assert {r.arrival_no for r in kept.collect()} == {r[0] for r in rows} - want
     assert kept.columns == df.columns
+    slim = D.kept_deliveries(df.unionByName(df.limit(40)), identity, [F.col("arrival_no")], "arrival_no")
+    assert sorted(r.arrival_no for r in slim.collect()) == sorted({r[0] for r in rows} - want)
+    assert slim.columns == df.columns
 
 
 def test_ties_repeats_and_empty(spark):
@@ -37,3 +40,12 @@ def test_ties_repeats_and_empty(spark):
     assert D.keep_first(df, [F.col("k")], [F.col("arrival_no")]).count() == 1
     assert D.surplus_deliveries(df.limit(0), [F.col("k")], [F.col("arrival_no")], "arrival_no").count() == 0
     assert D.keep_first(df.limit(0), [F.col("k")], [F.col("arrival_no")]).count() == 0
+    assert [tuple(r) for r in D.kept_deliveries(df, [F.col("k")], [F.col("arrival_no")], "arrival_no").collect()] == [(1, "a")]
+    assert D.kept_deliveries(df.limit(0), [F.col("k")], [F.col("arrival_no")], "arrival_no").count() == 0
+
+
+def test_the_struct_decides_ties(spark):
+    rows = [(3, "a", 5), (2, "a", 5), (1, "a", 9), (4, "b", None), (5, "b", 1)]
+    df = spark.createDataFrame(rows, "arrival_no bigint, k string, seconds bigint")
+    got = D.first_deliveries(df, [F.col("k")], [F.coalesce("seconds", F.lit(99))], "arrival_no")
+    assert {(r.k0, r.delivery) for r in got.collect()} == {("a", 2), ("b", 5)}

@@ -21,7 +21,7 @@ def test_no_cartesian_product_and_no_row_udf(spark, sf, name):
 def test_scans_read_only_what_they_need(spark, sf):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     text = plan(registry.queries()["p6_found"](spark, sf))
-    assert "job_data" not in text and "created_at" not in text
+    assert "job_data" not in text and "size_bytes" not in text and "next_retry_at" not in text
     text = plan(registry.queries()["cluster_asset_counts"](spark, sf))
     assert "embedding" not in text and "centroid" not in text
     text = plan(registry.queries()["filter_owner_tags"](spark, sf))
