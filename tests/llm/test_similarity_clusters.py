@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from catalith.llm import similarity_clusters as C
 
@@ -44,3 +45,55 @@ def test_empty_and_single(spark):
     schema = "id string, embedding array<double>"
     assert C.clusters(spark.createDataFrame([], schema)).count() == 0
     assert C.clusters(spark.createDataFrame([("a", [1.0] * 64), ("b", None)], schema)).count() == 0
+
+
+def found(spark, rows, known):
+    df = spark.createDataFrame(rows, "id string, embedding array<double>, label string")
+    return {r.id: r.cluster for r in C.clusters(df, spark.createDataFrame(known, "id string, centroid array<double>, threshold double")).collect()}
+
+
+def test_the_embedding_decides(spark, monkeypatch):
+    rows, truth, _ = data(2)
+    rows = [r for r in rows if r[0] is None or truth.get(r[0]) != 12]
+    known = [("none", None, None)]
+    groups = {}
+    for name, k in truth.items():
+        if k != 12:
+            groups.setdefault(k, []).append(name)
+    want = {name: min(g) for g in groups.values() for name in g}
+    got = found(spark, rows, known)
+    agree = sum(got.get(i) == c for i, c in want.items())
+    assert agree >= 0.99 * len(want) and agree >= 0.99 * len(got)  # recall and precision on the planted clusters
+    for name, dummy in (
+        ("spectral_labels", lambda edges, nodes, *a, **k: nodes.select("id", F.col("id").alias("label"))),  # every node by itself
+        ("spectral_labels", lambda edges, nodes, *a, **k: nodes.select("id", F.lit(1).cast("bigint").alias("label"))),  # all one
+        ("embedding", lambda edges, nodes, *a, **k: nodes.select("id", *[F.lit(0.0).cast("float").alias(f"x{i}") for i in range(6)])),  # affinities without the iteration
+    ):
+        with monkeypatch.context() as m:
+            m.setattr(C, name, dummy)
+            other = found(spark, rows, known)
+        assert sum(other.get(i) == c for i, c in want.items()) < 0.6 * len(want), name
+
+
+def test_crowded_cells_are_divided(spark):
+    rows, _, _ = data(3)
+    df = spark.createDataFrame([r for r in rows if r[0]], "id string, embedding array<double>, label string")
+    vectors = C.unit_vectors(df, "id", "embedding", 64).select(F.xxhash64("id").alias("id"), "vec").dropDuplicates(["id"])
+    table = np.frombuffer(b"".join(bytes(r.vec) for r in vectors.orderBy("id").limit(2).collect()), np.float32).reshape(-1, 64)
+    plain = {(r.a, r.b) for r in C.affinities(vectors, table, 0.8, 1, 6).collect()}
+    assert {(b, a) for a, b in plain} == plain
+    for crowded in (200, 40):  # divided by pivots of their own, and compared in blocks where they are still crowded
+        some = {(r.a, r.b) for r in C.affinities(vectors, table, 0.8, 1, 6, crowded).collect()}
+        assert len(some & plain) > 0.9 * len(plain)
+
+
+def test_every_vector_meets_every_centre(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda v: (v / np.linalg.norm(v, axis=-1, keepdims=True)).astype(np.float32)
+    x, c = unit(rng.normal(size=(500, 8))), unit(rng.normal(size=(60, 8)))
+    least = rng.choice([0.5, 0.72, 0.9], 60)
+    points = spark.createDataFrame([(f"v{i}", bytes(v.tobytes())) for i, v in enumerate(x)], "id string, vec binary")
+    centres = spark.createDataFrame([(i, float(t), i % 7 == 0, bytes(v.tobytes())) for i, (v, t) in enumerate(zip(c, least, strict=True))], "label bigint, threshold double, last boolean, vec binary")
+    got = {r.id: r.label for r in C.nearest_centres(points, centres, 500, group=30).collect()}
+    score = np.where(x @ c.T >= least, x @ c.T - 2.0 * (np.arange(60) % 7 == 0), -9)
+    assert got == {f"v{i}": int(k) for i, k in enumerate(score.argmax(axis=1)) if score[i, k] > -9}
