@@ -310,14 +310,15 @@ def nearest_centres(points: DataFrame, centres: DataFrame, n: int, group: int =
                     x = np.concatenate(held)
                     rank, best, cosine = np.full(len(x), -9.0), np.zeros(len(x), np.int64), np.zeros(len(x))
                 c = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                name, least = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-                behind = 2.0 * np.asarray(batch.column(5).to_numpy(zero_copy_only=False), bool)
-                for s in range(0, len(x), 8192):
-                    cos = (x[s : s + 8192] @ c.T).astype(np.float64)
-                    score = np.where(cos >= least - 1e-6, cos - behind, -9.0)
+                name, least = batch.column(3).to_numpy(), (batch.column(4).to_numpy() - 1e-6).astype(np.float32)
+                behind = 2 * np.asarray(batch.column(5).to_numpy(zero_copy_only=False), np.float32)
+                step = max(1, 1_000_000 // len(c))  # so many cosines at a time
+                for s in range(0, len(x), step):
+                    cos = x[s : s + step] @ c.T
+                    score = np.where(cos >= least, cos - behind, np.float32(-9))
                     k = score.argmax(axis=1)
                     at = np.arange(len(k))
-                    better = np.flatnonzero(score[at, k] > rank[s : s + 8192])
+                    better = np.flatnonzero(score[at, k] > rank[s : s + step])
                     rank[s + better], best[s + better], cosine[s + better] = score[better, k[better]], name[k[better]], cos[better, k[better]]
         yield from result()
 
