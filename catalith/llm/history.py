@@ -44,7 +44,7 @@ _DRAW = random.Random(20)
 #: The fixed pivots. Changing them makes stored tables useless.
 PIVOT_VALUES = [_DRAW.getrandbits(64) for _ in range(PIVOTS)]
 #: Rows of the pivot-distance table that a partition should have, and least and most partitions of a mask.
-PART_ROWS, LEAST_PARTS, MOST_PARTS = 4_000_000, 4, 4096
+PART_ROWS, LEAST_PARTS, MOST_PARTS = 4_000_000, 1, 4096
 
 
 def hex_digits(text: Column, digits: int) -> Column:
@@ -161,25 +161,23 @@ def reject(keys: DataFrame, path: str | None = None) -> DataFrame:
     return out.distinct()
 
 
-def _round(open_: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(accepted, rejected, still open): one round over the undecided nodes."""
+def _round(open_: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round over the undecided nodes: (all with whether they are accepted, the others with whether they are rejected by those)."""
     by_hash = open_.select("o", F.explode("hashes").alias("a"))
     first = by_hash.groupBy("a").agg(F.min("o").alias("m"))
     around = first.unionByName(pairs.join(first.withColumnRenamed("a", "b"), "b").select("a", "m")).groupBy("a").agg(F.min("m").alias("m"))
     best_hash = by_hash.join(around, "a").groupBy("o").agg(F.min("m").alias("mh"))
     of_sha = open_.filter("sha IS NOT NULL")
     best_sha = of_sha.select("o", "sha").join(of_sha.groupBy("sha").agg(F.min("o").alias("ms")), "sha").select("o", "ms")
-    judged = open_.join(best_hash, "o", "left").join(best_sha, "o", "left")
-    accepted = stash(judged.filter("coalesce(mh, o) = o AND coalesce(ms, o) = o").select("o", "sha", "hashes"), "accepted")
+    judged = stash(open_.join(best_hash, "o", "left").join(best_sha, "o", "left").select("o", "sha", "hashes", F.expr("coalesce(mh, o) = o AND coalesce(ms, o) = o").alias("accepted")), "judged")
 
-    rest = open_.join(accepted.select("o"), "o", "left_anti")
+    accepted, rest = judged.filter("accepted"), judged.filter("NOT accepted")
     taken = accepted.select(F.explode("hashes").alias("b")).distinct()
     near = pairs.join(taken, "b", "left_semi").select(F.col("a").alias("b")).unionByName(taken).distinct()
     hit = rest.select("o", F.explode("hashes").alias("b")).join(near, "b", "left_semi").select("o")
     hit = hit.unionByName(rest.filter("sha IS NOT NULL").join(accepted.filter("sha IS NOT NULL").select("sha").distinct(), "sha", "left_semi").select("o"))
-    decided = stash(hit.distinct(), "decided")
-    left = stash(rest.join(decided, "o", "left_anti"), "open")
-    return accepted, decided.select("o.id"), left
+    decided = rest.join(hit.distinct().withColumn("hit", F.lit(True)), "o", "left").select("o", "sha", "hashes", F.coalesce("hit", F.lit(False)).alias("rejected"))
+    return judged, stash(decided, "decided")
 
 
 class HistoryIndex:
@@ -246,28 +244,26 @@ class HistoryIndex:
             self.append(batch.limit(0))
         order = F.struct("is_new", "place", "id").alias("o")
         nodes = stash(batch.groupBy("sha", "hashes").agg(F.min(order).alias("o")), "nodes")
-        copies = stash(batch.select("id").join(nodes.select("o.id"), "id", "left_anti").distinct(), "copies")
-        values = stash(nodes.select(F.explode("hashes").alias("value")).distinct(), "values")
-        near = self.near(values)
-        by_hash = nodes.select("o", F.explode("hashes").alias("value")).join(near, "value", "left_semi").select("o.id")
-        by_sha = nodes.join(self.held_shas(nodes.filter("sha IS NOT NULL").select("sha").distinct()), "sha", "left_semi").select("o.id")
-        rejected = stash(by_sha.unionByName(by_hash).distinct(), "rejected")
-        open_ = stash(nodes.join(rejected.select(F.col("id").alias("rid")), F.col("o.id") == F.col("rid"), "left_anti"), "open")
-        table = pivot_table(open_.select(F.explode("hashes").alias("value")).distinct())
+        copies = batch.select("id").join(nodes.select("o.id"), "id", "left_anti").distinct()
+        near = self.near(nodes.select(F.explode("hashes").alias("value")).distinct())
+        by_hash = nodes.select("o", F.explode("hashes").alias("value")).join(near, "value", "left_semi").select("o")
+        by_sha = nodes.join(self.held_shas(nodes.filter("sha IS NOT NULL").select("sha").distinct()), "sha", "left_semi").select("o")
+        state = stash(nodes.join(by_sha.unionByName(by_hash).distinct().withColumn("hit", F.lit(True)), "o", "left").select("o", "sha", "hashes", F.coalesce("hit", F.lit(False)).alias("rejected")), "state")
+        table = pivot_table(state.filter("NOT rejected").select(F.explode("hashes").alias("value")).distinct())
         pairs = stash(near_pairs(table, table), "pairs")
 
-        out, added = rejected.unionByName(copies), []
+        out, added = copies.unionByName(state.filter("rejected").select("o.id")), []
+        open_ = state.filter("NOT rejected").drop("rejected")
         while not open_.isEmpty():
-            accepted, decided, rest = _round(open_, pairs)
-            out = out.unionByName(decided)
-            added.append(accepted)
-            drop_stash(open_)
-            open_ = rest
+            judged, decided = _round(open_, pairs)
+            out = out.unionByName(decided.filter("rejected").select("o.id"))
+            added.append(judged.filter("accepted").drop("accepted"))
+            open_ = decided.filter("NOT rejected").drop("rejected")
         if added:
             rows = added[0]
             for part in added[1:]:
                 rows = rows.unionByName(part)
             self.append(rows)
-        for part in (nodes, values, pairs, *added):
+        for part in (pairs, *added):
             drop_stash(part)
         return out
