@@ -3,10 +3,9 @@
 A text is cut into its lines and sentences. A regularised logistic regression over hashed word n-grams, slot shapes,
 length and position features scores each piece; it is trained on weak labels (response-status messages, phrases
 of the four languages, slot notations, pieces without any function word) of a bounded sample of documents,
-:data:`SAMPLE_DOCS` and :data:`SAMPLE_PIECES`, and validated on sources it has not seen. The phrases serve as labels only:
-a document is a case if a piece of any length scores :data:`DECIDED` and passes the check that follows: pieces whose
-words outside of slots and messages report, quote or explain such are no cases. Scoring covers every piece of every
-text and shuffles nothing.
+:data:`SAMPLE_DOCS` and :data:`SAMPLE_PIECES`, and validated on sources it has not seen. The phrases, those that report, quote or explain
+residue included, serve as labels only: a document is a case if a piece of any length scores :data:`DECIDED`. Scoring covers every
+piece of every text and shuffles nothing.
 
 Defined cases: null and blank texts are no cases; repeated texts are each judged, alike; a text of any length is judged
 as a whole; without any labelled piece in the sample nothing is a case; null doc_ids give no row.
@@ -39,6 +38,7 @@ _ID = re.compile(r"\b(?=\w*\d)(?=\w*[^\W\d_])\w+")
 _BREAK = re.compile(r"\s*\n+\s*|(?<=[.!?…])\s+")
 _SPACES = re.compile("[\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000\ufeff]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]")
+_DIGIT = re.compile(r"\d")
 
 # --- fixed values: notations of slots, as open and close marks with what may stand between them
 _NAME = r"[^\W\d][\w.:\-| ]{0,60}?|\d{1,3}"
@@ -71,9 +71,12 @@ _FILLER = re.compile(
     r"|blindtext|mustertext|platzhaltertext|beispieltext|fülltext|faux texte|texte (?:provisoire|de remplissage|d['’]exemple)|légende d['’]essai|texto (?:de relleno|de muestra|de prueba|provisional|simulado)|leyenda de prueba|texto texto",
     re.I,
 )
-#: Words of pieces that speak about such messages instead of being one.
+#: Verbs and nouns of pieces that speak about such slots and messages instead of being one; for the weak labels only.
 _REPORT = re.compile(
-    r"\b(?:(?<!which )explain\w*|explique\w*|explica\w*|erklärt\w*|describ\w+|beschreib\w+|quot\w+ the|template writes|fills? (?:it|them) in|naming rule|stands for|laut handbuch|handbuch|manual|field list|as slots|were (?:all )?(?:filled|removed|rewritten|replaced)|est rempli\w*|remplie? par|wird (?:durch|laut)|counted|returned \d|traced|answers of type|réponses \d+|tells visitors|reworded|was tried again|ended well|are listed|ran scripts|print shop|rapport compte|retiró|entfernte|a retiré|example record|sign saying|during the scan|prefer dummy|stayed in the text|was denied to|until the \S+ group|incident lasted|errors fell|accepted without)\b",
+    r"\b(?:(?<!which )explain\w*|describ\w+|quot(?:e[sd]?|ing) the|mention\w*|reported|reports that|says|said|saying|tells?|told|counted|returned \d|traced|reworded|(?:are|is|was) listed|stands? for|fills? (?:it|them) in|were (?:all )?(?:filled|removed|rewritten|replaced)|template writes|manual|handbook|example record|was denied to|accepted without|was tried again|ended well|during the scan"
+    r"|erklärt\w*|beschreib\w+|handbuch|laut handbuch|wird (?:durch|laut)|entfernten?|ersetzten?|zählt\w*"
+    r"|explique\w*|décrit|est rempli\w*|remplie? par|a retiré|ont retiré|rapport compte|réponses \d+|mentionn\w+"
+    r"|explica\w*|describe[ns]?|retiró|retiraron|mencion\w+|sustituy\w+)\b",
     re.I,
 )
 # --- fixed values: function words of English, German, French and Spanish
@@ -92,7 +95,7 @@ def _hash(token: str) -> int:
 
 def pieces(text: str | None) -> list[str]:
     """The lines and sentences of a text."""
-    return [p for p in _BREAK.split(_SPACES.sub(" ", text).strip()) if p] if text else []
+    return [p for p in _BREAK.split((text if text.isascii() else _SPACES.sub(" ", text)).strip()) if p] if text else []
 
 
 def slots(piece: str) -> list[str]:
@@ -142,26 +145,46 @@ def label(piece: str) -> int | None:
     return 0
 
 
-def features(piece: str, first: bool, alone: bool) -> list[int]:
-    """Hashed features of a piece: word n-grams, slot shapes, length, case and position."""
+def _tokens(piece: str, first: bool, alone: bool) -> tuple[list[int], list[int]]:
+    """(hashes of the words in order, hashes of slot shapes, length, case and position features)."""
     plain = html.unescape(piece) if "&" in piece else piece
-    words = [w if not w.isdigit() else f"#{min(len(w), 4)}{w if len(w) == 3 and w[0] in '45' else ''}" for w in _WORD.findall(plain.lower())]
+    lower = plain.lower()
+    words = _WORD.findall(lower)
+    own = words
+    if _DIGIT.search(plain):
+        own = _WORD.findall(_ID.sub(" ", lower))
+        words = [w if not w.isdigit() else f"#{min(len(w), 4)}{w if len(w) == 3 and w[0] in '45' else ''}" for w in words]
     n = len(words)
-    one = [_hash(w) for w in words]
-    two = [a * 2654435761 + b for a, b in zip(one, one[1:], strict=False)]
-    three = [a * 40503 + b for a, b in zip(two, one[2:], strict=False)]
     tokens = max(MARKED, n // 2) * ["\x01" + s for s in slots(piece)]
-    letters = sum(map(str.isalpha, plain))
     tokens += [f"\x02n{min(n, 40).bit_length()}", f"\x02c{min(len(plain), 2000).bit_length()}", f"\x02f{first}", f"\x02a{alone}"]
-    if letters and sum(map(str.isupper, plain)) > 0.7 * letters:
+    if plain.isupper():
         tokens.append("\x02upper")
     if n <= 6 and plain[-1:] not in ".!?":
         tokens.append("\x02title")
-    if unknown_words(_WORD.findall(_ID.sub(" ", plain.lower()))):
+    if unknown_words(own):
         tokens += MARKED * ["\x02unknown"]
     if n <= 5:
         tokens.append("\x02short")
-    return [h % DIMENSIONS for h in (*one, *two, *three, *map(_hash, tokens))]
+    return list(map(_hash, words)), list(map(_hash, tokens))
+
+
+def hashed(rows: list[tuple[str, bool, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row number, feature number) of every hashed feature of pieces: word n-grams, slot shapes, length, case and position."""
+    parts = [_tokens(*r) for r in rows]
+    sizes, extra = np.array([len(w) for w, _ in parts], np.int64), np.array([len(t) for _, t in parts], np.int64)
+    one = np.array([h for w, _ in parts for h in w], np.uint64)
+    of = np.repeat(np.arange(len(parts)), sizes)
+    two = one[:-1] * np.uint64(2654435761) + one[1:]  # wraps around, which the number of dimensions does not notice
+    three = two[:-1] * np.uint64(40503) + one[2:]
+    in_two, in_three = of[:-1] == of[1:], of[:-2] == of[2:]
+    where = np.concatenate([of, of[:-1][in_two], of[:-2][in_three], np.repeat(np.arange(len(parts)), extra)])
+    index = np.concatenate([one, two[in_two], three[in_three], np.array([h for _, t in parts for h in t], np.uint64)])
+    return where, (index % np.uint64(DIMENSIONS)).astype(np.int64)
+
+
+def features(piece: str, first: bool, alone: bool) -> list[int]:
+    """The hashed features of one piece."""
+    return hashed([(piece, first, alone)])[1].tolist()
 
 
 def fit(rows: list[list[int]], labels: list[int], l2: float = 1e-6, rounds: int = 600, rate: float = 6.0) -> np.ndarray:
@@ -184,6 +207,13 @@ def fit(rows: list[list[int]], labels: list[int], l2: float = 1e-6, rounds: int
     return w.astype(np.float32)
 
 
+def probabilities(weights: np.ndarray, rows: list[tuple[str, bool, bool]]) -> np.ndarray:
+    """The probability of residue of each (piece, first, alone)."""
+    where, index = hashed(rows)
+    z = np.bincount(where, weights[index], len(rows)) / np.sqrt(np.maximum(np.bincount(where, minlength=len(rows)), 1)) + float(weights[-1])
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def probability(weights: np.ndarray, row: list[int]) -> float:
     z = float(weights[row].sum()) / max(len(row), 1) ** 0.5 + float(weights[-1])
     return 1 / (1 + float(np.exp(-min(max(z, -30), 30))))
@@ -203,7 +233,7 @@ def labelled_sample(documents: DataFrame, source: str | None = "source", docs: i
                 own = pieces(text)
                 for i, p in enumerate(own):
                     key = (s, re.sub(r"\d", "0", p), i == 0, len(own) <= 2)
-                    if key in seen or len(p) > 2000:
+                    if key in seen:
                         continue
                     seen.add(key)
                     y = label(p)
@@ -235,22 +265,17 @@ def train(documents: DataFrame, source: str | None = "source", docs: int = SAMPL
 
 
 def piece_is_residue(weights: np.ndarray, piece: str, first: bool, alone: bool) -> bool:
-    return probability(weights, features(piece, first, alone)) >= DECIDED and not is_report(piece)
+    return probability(weights, features(piece, first, alone)) >= DECIDED
 
 
-def is_residue(weights: np.ndarray, text: str | None, judged: dict | None = None) -> bool:
-    """Whether a piece of the text is scored as residue and speaks for itself; ``judged`` keeps verdicts on pieces."""
+def are_residue(weights: np.ndarray, texts: list[str | None], judged: dict | None = None) -> list[bool]:
+    """Whether some piece of each text is scored as residue; ``judged`` keeps the verdicts on pieces. All new pieces are scored at once."""
     judged = {} if judged is None else judged
-    own = pieces(text)
-    alone = len(own) <= 2
-    for i, p in enumerate(own):
-        key = (p, i == 0, alone)
-        verdict = judged.get(key)
-        if verdict is None:
-            verdict = judged[key] = piece_is_residue(weights, *key)
-        if verdict:
-            return True
-    return False
+    keys = [[(p, i == 0, len(own) <= 2) for i, p in enumerate(own)] for own in map(pieces, texts)]
+    fresh = list({k for own in keys for k in own if k not in judged})
+    if fresh:
+        judged.update(zip(fresh, (probabilities(weights, fresh) >= DECIDED).tolist(), strict=True))
+    return [any(judged[k] for k in own) for own in keys]
 
 
 def residue(documents: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -259,9 +284,11 @@ def residue(documents: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judged: dict = {}
         for batch in batches:
-            if len(judged) > 100_000:
-                judged.clear()
-            hit = [is_residue(weights, t, judged) for t in batch.column(1).to_pylist()]
+            texts, hit = batch.column(1).to_pylist(), []
+            for start in range(0, len(texts), 1000):
+                if len(judged) > 100_000:
+                    judged.clear()
+                hit += are_residue(weights, texts[start : start + 1000], judged)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit, pa.bool_()))], names=["doc_id"])
 
     return spread(documents.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint").distinct()
@@ -275,7 +302,7 @@ def without_residue(documents: DataFrame, weights: np.ndarray) -> DataFrame:
 def measure(weights: np.ndarray, rows: list, least: float = DECIDED) -> tuple:
     """(pieces, residue, true and false positives, false negatives, precision, recall) of the classifier alone, at a
     probability of ``least``, on labelled pieces."""
-    said = [probability(weights, features(r.piece, r.first, r.alone)) >= least for r in rows]
+    said = (probabilities(weights, [(r.piece, r.first, r.alone) for r in rows]) >= least).tolist() if rows else []
     tp = sum(s and r.label == 1 for s, r in zip(said, rows, strict=True))
     fp, fn = sum(said) - tp, sum(r.label == 1 for r in rows) - tp
     return len(rows), tp + fn, tp, fp, fn, round(tp / max(tp + fp, 1), 4), round(tp / max(tp + fn, 1), 4)

@@ -69,3 +69,26 @@ def test_whole_table(spark, sf):
     assert R.measure(weights, aside)[0] == len(aside)
     empty, _ = R.train(docs.limit(0))
     assert R.residue(docs.limit(0), empty).count() == 0
+
+
+def test_pieces_scored_together_equal_one_by_one():
+    rows = [(p, i == 0, i % 2 == 0) for i, p in enumerate([*RESIDUE, *CONTENT, "", "x", "LOUD WORDS HERE", "a b", "№ 7", "4 0 4 " * 3000])]
+    weights = np.random.default_rng(1).standard_normal(R.DIMENSIONS + 1).astype(np.float32)
+    together = R.probabilities(weights, rows)
+    assert np.allclose(together, [R.probability(weights, R.features(*r)) for r in rows], atol=1e-5)
+    texts = [*RESIDUE, None, "", " \n ", "a\nb"]
+    assert R.are_residue(weights, texts) == [any(R.piece_is_residue(weights, p, i == 0, len(R.pieces(t)) <= 2) for i, p in enumerate(R.pieces(t))) for t in texts]
+
+
+def test_the_classifier_decides(spark, sf, monkeypatch):
+    from catalith.sources.tables import table
+
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    weights, _ = R.train(docs)
+    got = {r.doc_id for r in R.residue(docs, weights).collect()}
+    assert got and {r.doc_id for r in R.residue(docs, np.zeros_like(weights) - 1).collect()} != got
+    # Without the phrases at scoring time nothing changes: they are labels and no rule.
+    monkeypatch.setattr(R, "label", None)
+    monkeypatch.setattr(R, "is_report", None)
+    texts = docs.filter("text IS NOT NULL").collect()
+    assert {r.doc_id for r, hit in zip(texts, R.are_residue(weights, [r.text for r in texts]), strict=True) if hit} == got
