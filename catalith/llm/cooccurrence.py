@@ -1,8 +1,8 @@
 """Pairs of items that appear together more often than chance.
 
-Every record is one basket, the sorted set of its items. Items too rare to reach the wanted support are dropped before
-any pair is formed; that loses nothing, as a pair is never more frequent than its items. Equal baskets are then
-collapsed into one with a weight, pairs are enumerated once per distinct basket, and the weights are summed,
+Every record is one basket, the sorted set of its items. Equal baskets are collapsed into one with a weight. Items too rare to reach
+the wanted support are then dropped from them in place; that loses nothing, as a pair is never more frequent than its items. Baskets
+that are equal now are collapsed again, pairs are enumerated once per distinct basket, and the weights are summed,
 first inside the map tasks. An item in a third of all records is thus one entry of many baskets, not a group.
 
 The frequent items number at most (mean basket size / least share), whatever the size of the data.
@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalith.operators.deliveries import OUTER_SPACE
+from catalith.session import stash
+
+#: Most frequent items that a literal set may hold.
+MOST_ITEMS = 10_000
 
 
 def baskets(df: DataFrame, record: str = "asset_id", items: str = "tags") -> DataFrame:
@@ -30,21 +34,25 @@ def baskets(df: DataFrame, record: str = "asset_id", items: str = "tags") -> Dat
 def pairs(df: DataFrame, record: str = "asset_id", items: str = "tags", least: int = 3, share: float = 0.005, ratio: float = 5.0) -> DataFrame:
     """(tag_a, tag_b, n_ab, n_a, n_b, n, lift, conviction): the pairs with n_ab >= ``least``, n_ab / n >= ``share`` and a
     lift n_ab * n / (n_a * n_b) >= ``ratio``; tag_a < tag_b. Conviction is that of a -> b, null where a never lacks b."""
-    rows = baskets(df, record, items)
     # Equal baskets become one with a weight before anything is counted.
-    distinct = rows.groupBy("basket").agg(F.count("*").alias("weight"))
+    distinct = stash(baskets(df, record, items).groupBy("basket").agg(F.count("*").alias("weight")), "baskets")
     total = distinct.agg(F.sum("weight").alias("n"))
     single = distinct.select("weight", F.explode("basket").alias("item")).groupBy("item").agg(F.sum("weight").alias("n_item"))
-    frequent = single.crossJoin(total).filter((F.col("n_item") >= least) & (F.col("n_item") >= share * F.col("n")))  # total is one row
-    known = frequent.select("item", "n_item")
-    kept = distinct.withColumn("b", F.xxhash64("basket")).select("b", "basket", "weight", F.explode("basket").alias("item")).join(known.select("item"), "item", "left_semi")
-    reduced = kept.groupBy("basket", "weight").agg(F.array_sort(F.collect_list("item")).alias("items")).filter("size(items) > 1").groupBy("items").agg(F.sum("weight").alias("weight"))
+    frequent = stash(single.crossJoin(total).filter((F.col("n_item") >= least) & (F.col("n_item") >= share * F.col("n"))), "frequent")  # total is one row
+    # The frequent items, in number at most mean basket size / share, go to each basket as one literal set; beyond MOST_ITEMS by a join.
+    known = [r.item for r in frequent.select("item").orderBy("item").limit(MOST_ITEMS + 1).collect()]
+    if len(known) <= MOST_ITEMS:
+        kept = distinct.select(F.filter("basket", lambda t: t.isin(known)).alias("items"), "weight")
+    else:
+        entries = distinct.select("basket", "weight", F.explode("basket").alias("item")).join(frequent.select("item"), "item", "left_semi")
+        kept = entries.groupBy("basket", "weight").agg(F.array_sort(F.collect_list("item")).alias("items")).select("items", "weight")
+    reduced = kept.filter("size(items) > 1").groupBy("items").agg(F.sum("weight").alias("weight"))
     second = lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.struct(x.alias("tag_a"), y.alias("tag_b")))
     both = reduced.select("weight", F.explode(F.flatten(F.transform("items", second))).alias("p")).groupBy("p.tag_a", "p.tag_b").agg(F.sum("weight").alias("n_ab"))
     scored = (
         both.filter(F.col("n_ab") >= least)
         .join(frequent.select(F.col("item").alias("tag_a"), F.col("n_item").alias("n_a"), "n"), "tag_a")
-        .join(known.select(F.col("item").alias("tag_b"), F.col("n_item").alias("n_b")), "tag_b")
+        .join(frequent.select(F.col("item").alias("tag_b"), F.col("n_item").alias("n_b")), "tag_b")
         .filter((F.col("n_ab") >= share * F.col("n")) & (F.col("n_ab") * F.col("n") >= ratio * F.col("n_a") * F.col("n_b")))
     )
     lift = F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))
