@@ -27,6 +27,8 @@ from catalith.session import stash
 
 #: Bits of each axis, tokens of a task's stretch of the curve, capacities of one packing step, and the fill from which a container is closed.
 BITS, TASK_TOKENS, STEP, FULL = 6, 8_000_000, 64, 0.995
+#: Most tasks that the curve is cut for, whatever its length, and most kinds of containers.
+MOST_TASKS, MOST_KINDS = 20_000, 10_000
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -74,30 +76,46 @@ def best_fit(items: list[tuple], capacity: int) -> list[list[tuple]]:
     return bins
 
 
-def pack(items: Iterator[tuple[int, int]], capacity: int) -> Iterator[list[tuple[int, int, int, int]]]:
-    """Containers as lists of (doc_id, piece_no, first_token, n_tokens), from (doc_id, n_tokens) along the curve."""
-    pool: list[tuple[int, int, int, int]] = []
-    held = 0
-    for doc, size in items:
-        start, piece = 0, 0
+class Packer:
+    """Containers of one capacity, filled along the curve; holds no more than a step's items."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.pool: list[tuple[int, int, int, int]] = []
+        self.held = 0
+
+    def add(self, doc: int, size: int) -> Iterator[list[tuple[int, int, int, int]]]:
+        """The containers that are closed, as lists of (doc_id, piece_no, first_token, n_tokens)."""
+        start, piece, capacity = 0, 0, self.capacity
         while size - start > capacity:
             yield [(doc, piece, start, capacity)]
             start, piece = start + capacity, piece + 1
-        pool.append((doc, piece, start, size - start))
-        held += size - start
-        if held >= STEP * capacity:
+        self.pool.append((doc, piece, start, size - start))
+        self.held += size - start
+        if self.held >= STEP * capacity:
             rest = []
-            for b in best_fit(pool, capacity):
+            for b in best_fit(self.pool, capacity):
                 if sum(t[-1] for t in b) >= FULL * capacity:
                     yield b
                 else:
                     rest += b
-            held = sum(t[-1] for t in rest)
-            if held >= STEP * capacity // 2:  # sizes that do not combine: they are closed as they are
+            self.held = sum(t[-1] for t in rest)
+            if self.held >= STEP * capacity // 2:  # sizes that do not combine: they are closed as they are
                 yield from best_fit(rest, capacity)
-                rest, held = [], 0
-            pool = rest
-    yield from best_fit(pool, capacity)
+                rest, self.held = [], 0
+            self.pool = rest
+
+    def finish(self) -> Iterator[list[tuple[int, int, int, int]]]:
+        yield from best_fit(self.pool, self.capacity)
+        self.pool, self.held = [], 0
+
+
+def pack(items: Iterator[tuple[int, int]], capacity: int) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Containers of (doc_id, n_tokens) along the curve."""
+    packer = Packer(capacity)
+    for doc, size in items:
+        yield from packer.add(doc, size)
+    yield from packer.finish()
 
 
 def layout(documents: DataFrame, specs: DataFrame, ranks: str = RANKS, task_tokens: int = TASK_TOKENS) -> DataFrame:
@@ -107,8 +125,10 @@ def layout(documents: DataFrame, specs: DataFrame, ranks: str = RANKS, task_toke
     axes = [f"x{i}" for i in range(AXES)]
     about = rows.agg(F.sum("n_tokens").alias("n"), *[F.percentile_approx(a, steps, 2000).alias(a) for a in axes]).first()
     edges = [np.asarray(about[a] or [0.0], np.float64) for a in axes]
-    tasks = max(1, -(-(about["n"] or 0) // task_tokens))
-    capacities = [(r.spec_name, int(r.capacity_tokens)) for r in specs.filter("spec_name IS NOT NULL AND capacity_tokens > 0").select("spec_name", "capacity_tokens").distinct().limit(100).collect()]  # container kinds, a handful
+    tasks = min(MOST_TASKS, max(1, -(-(about["n"] or 0) // task_tokens)))
+    capacities = [(r.spec_name, int(r.capacity_tokens)) for r in specs.filter("spec_name IS NOT NULL AND capacity_tokens > 0").select("spec_name", "capacity_tokens").distinct().limit(MOST_KINDS + 1).collect()]
+    if len(capacities) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,18 +139,31 @@ def layout(documents: DataFrame, specs: DataFrame, ranks: str = RANKS, task_toke
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        own = [(d, n) for batch in batches for d, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         names = ["spec_name", "container", "doc_id", "piece_no", "first_token", "n_tokens"]
         kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        for spec, capacity in capacities:
-            out = []
-            for k, b in enumerate(pack(iter(own), capacity)):
-                out += [(spec, f"{part}-{k}", *item) for item in b]
+        packers = [(spec, Packer(capacity)) for spec, capacity in capacities]
+        number, out = [0] * len(packers), []
+
+        def closed(i: int, bins: Iterator[list[tuple]]) -> None:
+            for b in bins:
+                out.extend((packers[i][0], f"{part}-{number[i]}", *item) for item in b)
+                number[i] += 1
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            out.clear()
+            return made
+
+        for rows in batches:  # every kind of container is filled in the same pass, so a task's stretch may be of any length
+            for doc, size in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                for i, (_, packer) in enumerate(packers):
+                    closed(i, packer.add(doc, size))
                 if len(out) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    yield batch()
+        for i, (_, packer) in enumerate(packers):
+            closed(i, packer.finish())
+        if out:
+            yield batch()
 
     placed = rows.select("doc_id", "n_tokens", *axes).mapInArrow(keys, "doc_id bigint, n_tokens bigint, key bigint")
     along = placed.repartitionByRange(int(tasks), "key", "doc_id").sortWithinPartitions("key", "doc_id")

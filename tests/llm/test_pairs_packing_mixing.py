@@ -29,6 +29,27 @@ def test_pairs_equal_brute_force(spark):
     assert cooccurrence.pairs(df.limit(0)).count() == 0
 
 
+def test_pairs_with_more_items_than_a_literal_holds(spark, monkeypatch):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(f"r{i}", [rng.choice("abcdefgh") for _ in range(5)]) for i in range(200)], "asset_id string, tags array<string>")
+    rows = lambda: {tuple(r) for r in cooccurrence.pairs(df, ratio=0.0).collect()}
+    want = rows()
+    monkeypatch.setattr(cooccurrence, "MOST_ITEMS", 3)
+    assert want and rows() == want
+
+
+@needs_ranks
+def test_a_hundred_and_one_kinds_of_containers(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * (i % 40 + 1)) for i in range(60)], "doc_id bigint, text string")
+    specs = spark.createDataFrame([(f"s{i}", 10 + i) for i in range(101)], "spec_name string, capacity_tokens int")
+    rows = packing.layout(docs, specs).collect()
+    assert len({r.spec_name for r in rows}) == 101
+    assert len({sum(x.n_tokens for x in rows if x.spec_name == s) for s in ("s0", "s50", "s100")}) == 1
+    monkeypatch.setattr(packing, "MOST_KINDS", 100)
+    with pytest.raises(ValueError):
+        packing.layout(docs, specs)
+
+
 def test_hilbert_is_a_path_through_all_cells():
     cells = np.array(list(itertools.product(range(8), repeat=3)))
     key = packing.hilbert(cells, 3)
