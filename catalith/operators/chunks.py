@@ -79,11 +79,23 @@ def recursive_chunks(df: DataFrame, ident: str = "doc_id", text: str = "text", s
     return spread(df.select(ident, text)).mapInPandas(run, f"{ident} {dict(df.dtypes)[ident]}, chunk_index int, chunk string")
 
 
-def with_headings(elements: DataFrame, group: str, order: str, category: str, text: str) -> DataFrame:
-    """All columns and ``heading``: the last heading before or at each element of its group."""
+def with_headings(elements: DataFrame, group: str, order: str, category: str, text: str, block: int = 100_000) -> DataFrame:
+    """All columns and ``heading``: the last heading before or at each element of its group.
+
+    With a whole-number ``order`` a group is cut into blocks of so many numbers, each a group of its own; what the blocks before
+    leave behind, one heading per block, is carried over them in a small table. A group with a third of all rows is many tasks.
+    """
     is_heading = F.lower(F.coalesce(category, F.lit(""))).isin(*HEADINGS)
-    own = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return elements.withColumn("heading", F.last(F.when(is_heading, F.col(text)), ignorenulls=True).over(own))
+    if dict(elements.dtypes)[order] not in ("tinyint", "smallint", "int", "bigint"):
+        own = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return elements.withColumn("heading", F.last(F.when(is_heading, F.col(text)), ignorenulls=True).over(own))
+    rows = elements.withColumn("__block", F.coalesce(F.floor(F.col(order) / block), F.lit(-(2**62))).cast("bigint")).withColumn("__own", F.when(is_heading, F.col(text)))
+    last = rows.groupBy(F.col(group).alias("__group"), "__block").agg(F.max_by("__own", F.when(F.col("__own").isNotNull(), F.col(order))).alias("__last"))
+    before = W.partitionBy("__group").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.withColumn("__carried", F.last("__last", ignorenulls=True).over(before)).filter("__carried IS NOT NULL").select("__group", F.col("__block").alias("__of"), "__carried")
+    inside = W.partitionBy(group, "__block").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    filled = rows.withColumn("__inside", F.last("__own", ignorenulls=True).over(inside)).join(carried, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__block") == F.col("__of")), "left")
+    return filled.select(*[F.col(f"`{c}`") for c in elements.columns if c != "heading"], F.coalesce("__inside", "__carried").alias("heading"))
 
 
 def assembled(elements: DataFrame, group: str = "asset_id", order: str = "seq", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Defaults of picture metadata.
+# --- fixed values: defaults of picture metadata, zero-shot categories, limits
 GREYS = ("#808080", "#A0A0A0", "#C0C0C0")
+NO_CATEGORY, NO_DESCRIPTION, NO_SCENE, NO_NAME, NO_TAG = "unknown", "No description available", "abstract", "Mixed Content", "content"
 CATEGORIES = ("animal", "person", "vehicle", "nature", "food", "building", "object", "abstract", "landscape", "indoor scene")
 TAG_LIMIT, COLOUR_LIMIT, CONFIDENCE, KEYFRAMES = 15, 5, 60, 3
 
@@ -162,16 +163,11 @@ def recognised_text(words: Column, confidences: Column, least: float = CONFIDENC
 
 def with_defaults(df: DataFrame) -> DataFrame:
     """Picture metadata with gaps filled: category, at most 15 tags, description, scene, name and three to five colours."""
-    category = F.coalesce("primary_category", F.lit("unknown"))
-    tags = F.when(F.size(F.coalesce("tags", F.array())) == 0, F.array(category, F.lit("content"))).otherwise(F.slice("tags", 1, TAG_LIMIT))
+    category = F.coalesce("primary_category", F.lit(NO_CATEGORY))
+    tags = F.when(F.size(F.coalesce("tags", F.array())) == 0, F.array(category, F.lit(NO_TAG))).otherwise(F.slice("tags", 1, TAG_LIMIT))
     valid = F.filter(F.coalesce("color_palette", F.array(*map(F.lit, GREYS))), lambda c: c.startswith("#") & (F.length(c) == 7))
     colours = F.slice(F.when(F.size(valid) < 3, F.concat(valid, F.array(*map(F.lit, GREYS)))).otherwise(valid), 1, COLOUR_LIMIT)
-    return df.select("asset_id", category.alias("primary_category"), tags.alias("tags"), F.coalesce("description", F.lit("No description available")).alias("description"), F.coalesce("scene_type", F.lit("abstract")).alias("scene_type"), F.coalesce("suggested_cluster_name", F.lit("Mixed Content")).alias("suggested_cluster_name"), colours.alias("color_palette"))
-
-
-def best_categories(scores: dict[str, float]) -> str:
-    """The category with the highest score, the first of equals."""
-    return max(scores, key=scores.get)
+    return df.select("asset_id", category.alias("primary_category"), tags.alias("tags"), F.coalesce("description", F.lit(NO_DESCRIPTION)).alias("description"), F.coalesce("scene_type", F.lit(NO_SCENE)).alias("scene_type"), F.coalesce("suggested_cluster_name", F.lit(NO_NAME)).alias("suggested_cluster_name"), colours.alias("color_palette"))
 
 
 def sampled_frames(frames: Sequence[np.ndarray], times: Sequence[float], gap: float = 0.4, distance: float = 0.15, most: int = 24) -> list[int]:

@@ -105,8 +105,8 @@ def headings_in_order(spark: SparkSession, folder: str) -> DataFrame:
 
 def heading_forward_fill(spark: SparkSession, folder: str) -> DataFrame:
     """The last title before each text of a source, in order of the ids."""
-    rows = table(spark, folder, "documents").select("doc_id", "source", "element_type", F.substring("text", 1, 40).alias("start"))
-    return chunks.with_headings(rows, "source", "doc_id", "element_type", "start").select("doc_id", "heading")
+    rows = table(spark, folder, "documents").select("doc_id", "source", "element_type", "text")
+    return chunks.with_headings(rows, "source", "doc_id", "element_type", "text").select("doc_id", "heading")
 
 
 def chunk_index_rownum(spark: SparkSession, folder: str) -> DataFrame:
@@ -302,7 +302,7 @@ SQL = {
     "batch_progress": "SELECT batch_no, count(*) AS total, count(*) FILTER (status IN ('done', 'failed')) AS processed, round(count(*) FILTER (status IN ('done', 'failed')) * 100.0 / count(*), 2)::DOUBLE AS percent FROM asset GROUP BY batch_no",
     "owner_usage": "SELECT owner, kind, count(*) AS assets, sum(size_bytes)::BIGINT AS bytes, max(ingest_no) AS last FROM asset GROUP BY ALL",
     "headings_in_order": "SELECT asset_id, string_agg(parent_heading, '|' ORDER BY first_at, parent_heading) AS headings FROM (SELECT asset_id, parent_heading, min(doc_id) AS first_at FROM documents WHERE asset_id IS NOT NULL AND parent_heading IS NOT NULL GROUP BY ALL) GROUP BY asset_id",
-    "heading_forward_fill": "SELECT doc_id, last_value(CASE WHEN lower(element_type) IN ('title', 'heading', 'header', 'sectionheader') THEN substring(text, 1, 40) END IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM documents",
+    "heading_forward_fill": "SELECT doc_id, last_value(CASE WHEN lower(element_type) IN ('title', 'heading', 'header', 'sectionheader') THEN text END IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM documents",
     "chunk_index_rownum": "SELECT doc_id, asset_id, (row_number() OVER (PARTITION BY asset_id ORDER BY doc_id) - 1)::INTEGER AS chunk_index FROM documents WHERE asset_id IS NOT NULL",
     "fixed_chunks": f"SELECT doc_id, chunk_index::INTEGER AS chunk_index, start, length(chunk)::INTEGER AS length, sha256(chunk) AS chunk_hash FROM {_WIN(512, 462)}",
     "chunk_counts": f"SELECT doc_id, count(*) AS chunks, sum(length(chunk))::BIGINT AS chars FROM {_WIN(1000, 900)} GROUP BY doc_id",

@@ -79,6 +79,31 @@ def test_content_types(spark):
     assert [r.t for r in df.select(mime.sniffed(F.col("content"), F.col("path")).alias("t")).collect()] == ["image/jpeg", "image/png", "image/webp", "audio/wav", "image/gif", "video/mp4", "application/octet-stream", "application/octet-stream"]
 
 
+def test_signatures(spark):
+    ftyp = lambda brand, size=24: size.to_bytes(4, "big") + b"ftyp" + brand
+    rows = [
+        (ftyp(b"isom"), "video/mp4"), (ftyp(b"mp42", 32), "video/mp4"), (ftyp(b"qt  ", 20), "video/quicktime"), (ftyp(b"M4A ", 28), "audio/mp4"), (b"ftypisom....", "application/octet-stream"),
+        (b"RIFF\x10\0\0\0AVI LIST", "video/x-msvideo"), (b"RIFFWEBPxxxxJUNK", "application/octet-stream"), (b"ID3\x04", "audio/mpeg"), (b"\xff\xfb\x90", "audio/mpeg"), (b"\xff\xf3\x40", "audio/mpeg"), (b"\xff\xf0\x40", "application/octet-stream"),
+        (b"\xff\xff\xff", "audio/mpeg"), (b"BM\x36", "image/bmp"), (b"II*\0", "image/tiff"), (b"MM\0*", "image/tiff"), (b"fLaC", "audio/flac"), (b"OggS", "audio/ogg"), (b"%PDF-1.7", "application/pdf"), (b"\x1a\x45\xdf\xa3", "video/x-matroska"),
+        (b"PK\x03\x04" + b"\0" * 26 + b"word/document.xml", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), (b"PK\x03\x04" + b"\0" * 26 + b"mimetypeapplication/epub+zip", "application/epub+zip"), (b"GIF87a", "image/gif"), (b"GIF88a", "application/octet-stream"), (b"\xff", "application/octet-stream"),
+    ]
+    df = spark.createDataFrame([(i, c, "none") for i, (c, _) in enumerate(rows)], "i int, content binary, path string")
+    got = [r.t for r in df.orderBy("i").select(mime.sniffed(F.col("content"), F.col("path")).alias("t")).collect()]
+    assert got == [t for _, t in rows]
+
+
+def test_headings_are_carried_over_blocks(spark):
+    rows = [(g, i, "Title" if i % 37 == 5 and g != "none" else "Text", f"{g}{i}" * 30) for g in ("a", "none", None) for i in range(200)]
+    df = spark.createDataFrame(rows, "grp string, seq bigint, category string, text string")
+    want, last = {}, {}
+    for g, i, c, t in rows:
+        last[g] = t if c == "Title" else last.get(g)
+        want[g, i] = last[g]
+    for block in (7, 50, 1000):
+        out = K.with_headings(df, "grp", "seq", "category", "text", block)
+        assert {(r.grp, r.seq): r.heading for r in out.collect()} == want and out.columns == [*df.columns, "heading"]
+
+
 def test_pictures():
     rng = np.random.default_rng(0)
     grey = rng.integers(0, 255, (64, 48)).astype(float)
