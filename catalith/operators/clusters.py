@@ -9,10 +9,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from catalith.functions import vector
+from catalith.functions.grouped import map_groups
 
 THRESHOLD, MERGE_COSINE = 0.72, 0.85
 
@@ -26,14 +27,18 @@ def usable(clusters: DataFrame) -> DataFrame:
 def assign_best(vectors: DataFrame, clusters: DataFrame, block: int = 4096) -> DataFrame:
     """(id, cluster_id, cosine): the cluster with the largest cosine at or above its threshold, for every vector that has one.
 
-    The centroids are compared in blocks: each block is one literal matrix for a pass of numpy products over the
-    vectors, and the best of all blocks is kept by an aggregation with map-side combination. Ties go to the smaller id.
+    The centroids are compared in blocks by hash: each block is one literal matrix of at most about ``block`` rows for a pass of products over the
+    vectors, which are not shuffled, and the best of all blocks is kept by an aggregation with map-side combination. Up to ``block`` clusters
+    this is a single pass. Ties go to the smaller id.
     """
-    known = usable(clusters).select("cluster_id", "centroid", "threshold").withColumn("block", F.floor((F.row_number().over(W.orderBy("cluster_id")) - 1) / block))
+    known = usable(clusters).filter("cluster_id IS NOT NULL").select("cluster_id", "centroid", "threshold")
+    blocks = -(-known.count() // block)
     rows = vectors.filter("embedding IS NOT NULL").select("id", "embedding")
     out = None
-    for part in sorted({r.block for r in known.select("block").distinct().collect()}):
-        own = known.filter(F.col("block") == part).orderBy("cluster_id").collect()  # at most ``block`` rows
+    for part in range(blocks):
+        own = known.filter(F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)) == part).orderBy("cluster_id").collect()
+        if not own:
+            continue
         names, table, least = [r.cluster_id for r in own], np.array([r.centroid for r in own]), np.array([r.threshold for r in own])
 
         def run(batches: Iterator[pa.RecordBatch], names=names, table=table, least=least) -> Iterator[pa.RecordBatch]:
@@ -56,27 +61,66 @@ def assign_best(vectors: DataFrame, clusters: DataFrame, block: int = 4096) -> D
     return best.select("id", "cluster_id", F.round("c", 6).alias("cosine"))
 
 
-def merge_candidates(clusters: DataFrame, least: float = MERGE_COSINE) -> DataFrame:
+def merge_candidates(clusters: DataFrame, least: float = MERGE_COSINE, block: int = 2048) -> DataFrame:
     """(a, b, cosine): pairs of clusters, a < b, whose centroids have a cosine of at least ``least``.
 
-    Unit vectors with such a cosine lie at most sqrt(2 - 2 * least) apart, so their projections on a fixed axis differ by at most
-    that. Clusters are cut into strips of this width along the axis in which a strip needs only itself and its neighbour: an
-    equi-join, no cross join.
+    Centroids of many axes have no order or grid that would set pairs apart (at 64 axes neighbouring strips of the width that the cosine
+    allows hold all of them), so every pair is compared, once, in products of two blocks of centroids; only pairs that reach
+    ``least`` are rows. Clusters are few beside their members; each task has two blocks.
     """
-    units = usable(clusters)
-    width = float(np.sqrt(max(2 - 2 * least, 1e-9))) + 1e-9
-    rng = np.random.default_rng(5)
-    rows = units.withColumn("size", F.size("centroid"))
-    for axis in range(2):
-        direction = rng.standard_normal(4096)
-        along = F.aggregate(F.transform("centroid", lambda x, i: x * F.get(vector.literal(direction[:256]), i % 256)), F.lit(0.0), lambda s, x: s + x)
-        scale = F.sqrt(F.aggregate(F.sequence(F.lit(0), F.size("centroid") - 1), F.lit(0.0), lambda s, i: s + F.pow(F.get(vector.literal(direction[:256]), i % 256), F.lit(2.0))))
-        rows = rows.withColumn(f"strip{axis}", F.floor(along / scale / width))
-    left = rows.select(F.col("cluster_id").alias("a"), F.col("centroid").alias("va"), "size", F.explode(F.array(*[F.struct((F.col("strip0") + i).alias("strip0"), (F.col("strip1") + j).alias("strip1")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s"))
-    left = left.select("a", "va", "size", "s.strip0", "s.strip1")
-    right = rows.select(F.col("cluster_id").alias("b"), F.col("centroid").alias("vb"), "size", "strip0", "strip1")
-    pairs = left.join(right, ["size", "strip0", "strip1"]).filter("a < b").withColumn("cosine", vector.dot(F.col("va"), F.col("vb")))
-    return pairs.filter(F.col("cosine") >= least).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    units = usable(clusters).filter("cluster_id IS NOT NULL").select("cluster_id", "centroid")
+    blocks = max(1, -(-units.count() // block))
+    salted = units.withColumn("salt", F.pmod(F.xxhash64("cluster_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = salted.select("cluster_id", "centroid", F.size("centroid").alias("size"), "salt", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"))
+
+    def run(part: pa.Table) -> pa.RecordBatch | None:
+        size, salt, i, j = part["size"][0].as_py(), part["salt"].to_numpy(), part["i"][0].as_py(), part["j"][0].as_py()
+        v = part["centroid"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        names = np.array(part["cluster_id"].to_pylist(), dtype=object)
+        left, right = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
+        cosine = v[left] @ v[right].T
+        x, y = np.nonzero(cosine >= least)
+        found = cosine[x, y]
+        x, y = left[x], right[y]
+        keep = names[x] < names[y] if i == j else np.ones(len(x), bool)
+        if not keep.any():
+            return None
+        a, b = names[x[keep]], names[y[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.string()), pa.array(np.maximum(a, b), pa.string()), pa.array(found[keep])], names=["a", "b", "cosine"])
+
+    found = map_groups(pairs, ["size", "i", "j"], ["cluster_id"], run, "a string, b string, cosine double")
+    return found.select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+def nearest_labels(vectors: DataFrame, ident: str, labels: DataFrame, top: int, column: str = "embedding", block: int = 4096) -> DataFrame:
+    """(ident, place, label, cosine): the ``top`` labels with the largest dot products with each vector, in order, equal ones by label.
+    ``labels``: (label, centroid), compared in blocks by hash; the best of each block are merged per vector."""
+    known = labels.filter("label IS NOT NULL AND centroid IS NOT NULL").select("label", "centroid")
+    blocks = -(-known.count() // block)
+    kinds = dict(labels.dtypes)
+    rows = vectors.filter(F.col(column).isNotNull()).select(F.col(ident).alias("id"), F.col(column).alias("embedding"))
+    schema = f"id {dict(vectors.dtypes)[ident]}, best array<struct<far: double, label: {kinds['label']}>>"
+    out = rows.select("id", F.expr(f"CAST(array() AS array<struct<far: double, label: {kinds['label']}>>)").alias("best")).limit(0)
+    kind = pa.list_(pa.struct([("far", pa.float64()), ("label", to_arrow_type(labels.schema["label"].dataType))]))
+    for part in range(blocks):
+        own = known.filter(F.pmod(F.xxhash64("label"), F.lit(blocks)) == part).orderBy("label").collect()
+        if not own:
+            continue
+        names, table = [r.label for r in own], np.array([r.centroid for r in own], float)
+
+        def run(batches: Iterator[pa.RecordBatch], names=names, table=table) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), table.shape[1]), False))
+                v = good.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, table.shape[1])
+                far = -np.round(v @ table.T, 9)
+                order = np.argsort(far, axis=1, kind="stable")[:, :top]
+                best = [[{"far": float(f[k]), "label": names[k]} for k in o] for f, o in zip(far, order, strict=True)]
+                yield pa.RecordBatch.from_arrays([good.column(0), pa.array(best, kind)], names=["id", "best"])
+
+        out = out.unionByName(rows.mapInArrow(run, schema))
+    merged = out.groupBy("id").agg(F.flatten(F.collect_list("best")).alias("best"))  # at most ``top`` of each block
+    ranked = merged.select("id", F.posexplode(F.slice(F.array_sort("best"), 1, top)).alias("place", "s"))
+    return ranked.select(F.col("id").alias(ident), (F.col("place") + 1).alias("place"), "s.label", F.round(-F.col("s.far"), 6).alias("cosine"))
 
 
 def cluster_counts(clusters: DataFrame, assets: DataFrame, least: int = 0, provisional: bool | None = None) -> DataFrame:

@@ -125,10 +125,7 @@ def label_candidates(spark: SparkSession, folder: str) -> DataFrame:
 def best_cluster_rank(spark: SparkSession, folder: str) -> DataFrame:
     """The three nearest label means of every vector, in order."""
     rows = table(spark, folder, "embeddings")
-    means = [(r.label, r.centroid) for r in vector.mean_vector(rows, ["label"], "embedding").orderBy("label").limit(100).collect()]
-    scores = F.array(*[F.struct((-F.round(vector.dot(F.col("embedding"), vector.literal(m)), 9)).alias("far"), F.lit(k).alias("label")) for k, m in means])
-    ranked = rows.select("vec_id", F.posexplode(F.slice(F.array_sort(scores), 1, 3)).alias("place", "s"))
-    return ranked.select("vec_id", (F.col("place") + 1).alias("place"), "s.label", F.round(-F.col("s.far"), 6).alias("cosine"))
+    return C.nearest_labels(rows, "vec_id", vector.mean_vector(rows, ["label"], "embedding"), 3)
 
 
 def leader_clustering(spark: SparkSession, folder: str) -> DataFrame:

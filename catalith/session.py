@@ -18,6 +18,9 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+#: Bytes per task up to which :func:`spread` moves rows.
+SMALL = 32 << 20
+
 
 def session(master: str = "local[*]", app: str = "catalith", **conf: str) -> SparkSession:
     """A session with the defaults of this library; keyword names use ``__`` for the dots of a setting."""
@@ -88,7 +91,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as the cluster runs tasks, for steps whose time goes into Python. A table that
-    is read in enough splits, as large ones are, is returned as it is and not shuffled."""
+    """``df`` for steps whose time goes into Python: a small table that is read in fewer splits than the cluster runs tasks, and by the optimizer's
+    estimate is below :data:`SMALL` bytes for each, is spread over them. A larger table is returned as it is, whatever its splits, and never shuffled."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size > SMALL * wanted or df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted)

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pandas as pd
@@ -119,3 +120,30 @@ def test_hamming_equals_brute_force(spark):
             want[f"{i:03d}"] = (near[0], len(near))
     assert got == want
     assert H.near_duplicates(df.limit(0), "id", F.col("value")).count() == 0
+
+
+def test_near_values_divide_crowded_cells(spark):
+    rng = random.Random(9)
+    values = list({rng.getrandbits(64) & 0x3FFFF for _ in range(250)})
+    df = spark.createDataFrame([(v,) for v in values], "value bigint")
+    want = {(a, b, bin(a ^ b).count("1")) for a in values for b in values if a != b and bin(a ^ b).count("1") <= 4}
+    for largest in (10_000, 40, 8):
+        assert {tuple(r) for r in H.near_values(df, largest).collect()} == want
+
+
+def test_clusters_in_several_blocks(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    c, x = unit(rng.normal(size=(101, 8))), rng.normal(size=(60, 8))
+    known = spark.createDataFrame([(f"c{i:03d}", v.tolist(), 0.5, "n") for i, v in enumerate(c)] + [("none", None, None, "n")], "id string, centroid array<double>, threshold double, name string")
+    pairs = {(f"c{i:03d}", f"c{j:03d}") for i in range(101) for j in range(i + 1, 101) if c[i] @ c[j] >= 0.6}
+    for block in (5000, 30):
+        assert {(r.a, r.b) for r in C.merge_candidates(known, 0.6, block).collect()} == pairs
+    vectors = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(unit(x))], "id string, embedding array<double>")
+    best = {f"v{i}": f"c{int(k):03d}" for i, k in enumerate((unit(x) @ c.T).argmax(axis=1)) if (unit(x) @ c.T)[i, k] >= 0.5}
+    for block in (5000, 30):
+        assert {r.id: r.cluster_id for r in C.assign_best(vectors, known, block).collect()} == best
+        labels = known.select(F.col("id").alias("label"), "centroid")  # 101 labels, every one a candidate
+        ranked = {(r.id, r.place): r.label for r in C.nearest_labels(vectors, "id", labels, 3, block=block).collect()}
+        assert ranked == {(f"v{i}", p + 1): f"c{int(k):03d}" for i, row in enumerate(np.argsort(-(unit(x) @ c.T), axis=1)[:, :3]) for p, k in enumerate(row)}
+    assert C.nearest_labels(vectors, "id", labels.limit(0), 3).count() == 0 and C.merge_candidates(known.limit(0)).count() == 0
