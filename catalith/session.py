@@ -94,7 +94,7 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` for steps whose time goes into Python: a small table that is read in fewer splits than the cluster runs tasks, and by the optimizer's
     estimate is below :data:`SMALL` bytes for each, is spread over them. A larger table is returned as it is, whatever its splits, and never shuffled."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > SMALL * wanted or df.rdd.getNumPartitions() >= wanted:
         return df
     return df.repartition(wanted)
