@@ -100,39 +100,44 @@ def _type_rank(kind: Column) -> Column:
 
 
 def file_fields(stats: DataFrame) -> DataFrame:
-    """(feed, file_no, field, type, n): the fields of each file with the type of most of their values."""
+    """(feed, file_no, field, type, n, of_type): the fields of each file with the type of most of their values, the number of values and
+    that of this type."""
     counts = stats.filter("token = -1")
-    best = F.max_by("type", F.struct("weight", -_type_rank(F.col("type"))))
-    return counts.groupBy("feed", "file_no", "field").agg(best.alias("type"), F.sum("weight").cast("long").alias("n"))
+    best = F.max(F.struct("weight", (-_type_rank(F.col("type"))).alias("rank"), "type")).alias("best")
+    grouped = counts.groupBy("feed", "file_no", "field").agg(best, F.sum("weight").cast("long").alias("n"))
+    return grouped.select("feed", "file_no", "field", "best.type", "n", F.col("best.weight").alias("of_type"))
 
 
 def file_changes(df: DataFrame, feed: str = "feed", file_no: str = "file_no", body: str = "body", same_content: float = SAME_CONTENT, same_object: float = SAME_OBJECT, stats: DataFrame | None = None) -> DataFrame:
     """(feed, file_no, change_kind, old_name, new_name): the changes of each file against the one before it."""
     stats = stash(file_statistics(df, feed, file_no, body), "statistics") if stats is None else stats
     files = df.select(F.col(feed).alias("feed"), F.col(file_no).cast("int").alias("file_no")).filter("feed IS NOT NULL AND file_no IS NOT NULL").distinct()
-    files = files.withColumn("next_no", F.lead("file_no").over(W.partitionBy("feed").orderBy("file_no")))
-    fields = file_fields(stats)
-    old = fields.join(files, ["feed", "file_no"]).filter("next_no IS NOT NULL").select("feed", F.col("next_no").alias("file_no"), "field", F.col("type").alias("old_type"), F.col("file_no").alias("old_no"))
-    first = files.groupBy("feed").agg(F.min("file_no").alias("first_no"))
-    new = fields.join(first, "feed").filter("file_no > first_no").select("feed", "file_no", "field", F.col("type").alias("new_type"))
-    both = old.join(new, ["feed", "file_no", "field"], "full")
-    retyped = both.filter("old_type <> new_type").select("feed", "file_no", F.lit("retyped").alias("change_kind"), F.col("field").alias("old_name"), F.col("field").alias("new_name"))
-    gone = both.filter("new_type IS NULL").select("feed", "file_no", F.col("field").alias("old_name"), F.col("old_type").alias("type"), "old_no")
-    come = both.filter("old_type IS NULL").select("feed", "file_no", F.col("field").alias("new_name"), F.col("new_type").alias("type"))
-
-    share = F.col("weight") / F.sum("weight").over(W.partitionBy("feed", "file_no", "field", "type"))
-    tokens = stats.filter("token >= 0").withColumn("share", share)
-    of_gone = gone.join(tokens.select("feed", F.col("file_no").alias("old_no"), F.col("field").alias("old_name"), "type", "token", F.col("share").alias("old_share")), ["feed", "old_no", "old_name", "type"])
-    of_come = come.join(tokens.select("feed", "file_no", F.col("field").alias("new_name"), "type", "token", F.col("share").alias("new_share")), ["feed", "file_no", "new_name", "type"])
-    alike = of_gone.join(of_come, ["feed", "file_no", "type", "token"]).groupBy("feed", "file_no", "type", "old_name", "new_name").agg(F.round(F.sum(F.least("old_share", "new_share")), 6).alias("overlap"))
+    in_order = W.partitionBy("feed").orderBy("file_no")
+    files = files.withColumn("next_no", F.lead("file_no").over(in_order)).withColumn("last_no", F.lag("file_no").over(in_order))
+    # Each field stands for itself in its file and as the old one in the next; both meet in one aggregation.
+    state = F.struct("type", "of_type", F.col("file_no").alias("at")).alias("state")
+    roles = F.explode(F.array(F.struct(F.when(F.col("last_no").isNotNull(), F.col("file_no")).alias("of"), F.lit(False).alias("old")), F.struct(F.col("next_no").alias("of"), F.lit(True).alias("old")))).alias("role")
+    met = file_fields(stats).join(files, ["feed", "file_no"]).select("feed", "field", state, roles).filter("role.of IS NOT NULL")
+    met = met.groupBy("feed", F.col("role.of").alias("file_no"), "field").agg(F.max(F.when(F.col("role.old"), F.col("state"))).alias("was"), F.max(F.when(~F.col("role.old"), F.col("state"))).alias("now"))
+    both = stash(met.filter("was IS NULL OR now IS NULL OR was.type <> now.type"), "changed")
+    retyped = both.filter("was IS NOT NULL AND now IS NOT NULL").select("feed", "file_no", F.lit("retyped").alias("change_kind"), F.col("field").alias("old_name"), F.col("field").alias("new_name"))
+    alone = both.filter("was IS NULL OR now IS NULL").select("feed", "file_no", F.col("field").alias("name"), F.col("now").isNull().alias("gone"), F.coalesce("was", "now").alias("state"))
+
+    # The shares of the tokens of fields that are gone and of new ones meet under the token; a value's tokens weigh one together.
+    wanted = alone.select("feed", F.col("state.at").alias("at"), F.col("name").alias("field"), "state.type", "file_no", "gone", "state.of_type")
+    tokens = stats.filter("token >= 0").withColumnRenamed("file_no", "at").join(wanted, ["feed", "at", "field", "type"]).select("feed", "file_no", "type", "token", "gone", F.struct(F.col("field").alias("name"), (F.col("weight") / F.col("of_type")).alias("share")).alias("entry"))
+    shared = tokens.groupBy("feed", "file_no", "type", "token").agg(F.collect_list(F.when(F.col("gone"), F.col("entry"))).alias("old"), F.collect_list(F.when(~F.col("gone"), F.col("entry"))).alias("new")).filter("size(old) > 0 AND size(new) > 0")
+    pairs = shared.select("feed", "file_no", "type", F.explode("old").alias("o"), "new").select("feed", "file_no", "type", "o", F.explode("new").alias("w"))
+    alike = pairs.groupBy("feed", "file_no", "type", F.col("o.name").alias("old_name"), F.col("w.name").alias("new_name")).agg(F.round(F.sum(F.least("o.share", "w.share")), 6).alias("overlap"))
     alike = alike.filter(F.col("overlap") >= F.when(F.col("type") == "object", same_object).otherwise(same_content))
     # The closest pair first; a name that has its partner takes no other.
     ranked = alike.groupBy("feed", "file_no").agg(F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("far"), "old_name", "new_name"))).alias("pairs"))
     kept = F.aggregate("pairs", F.expr("CAST(array() AS array<struct<far: double, old_name: string, new_name: string>>)"), lambda acc, p: F.when(F.exists(acc, lambda q: (q["old_name"] == p["old_name"]) | (q["new_name"] == p["new_name"])), acc).otherwise(F.concat(acc, F.array(p))))
-    renamed = ranked.select("feed", "file_no", F.explode(kept).alias("p")).select("feed", "file_no", F.lit("renamed").alias("change_kind"), "p.old_name", "p.new_name")
-    removed = gone.join(renamed, ["feed", "file_no", "old_name"], "left_anti").select("feed", "file_no", F.lit("removed").alias("change_kind"), "old_name", F.lit("").alias("new_name"))
-    added = come.join(renamed, ["feed", "file_no", "new_name"], "left_anti").select("feed", "file_no", F.lit("added").alias("change_kind"), F.lit("").alias("old_name"), "new_name")
-    return retyped.unionByName(renamed).unionByName(removed).unionByName(added)
+    renamed = stash(ranked.select("feed", "file_no", F.explode(kept).alias("p")).select("feed", "file_no", F.lit("renamed").alias("change_kind"), "p.old_name", "p.new_name"), "renamed")
+    partners = renamed.select("feed", "file_no", F.col("old_name").alias("name"), F.lit(True).alias("gone")).unionByName(renamed.select("feed", "file_no", F.col("new_name").alias("name"), F.lit(False).alias("gone")))
+    rest = alone.join(partners, ["feed", "file_no", "name", "gone"], "left_anti")
+    rest = rest.select("feed", "file_no", F.when(F.col("gone"), "removed").otherwise("added").alias("change_kind"), F.when(F.col("gone"), F.col("name")).otherwise("").alias("old_name"), F.when(F.col("gone"), "").otherwise(F.col("name")).alias("new_name"))
+    return retyped.unionByName(renamed).unionByName(rest)
 
 
 def canonical_names(changes: DataFrame) -> DataFrame:
