@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,6 +60,41 @@ def lineage_row(request_id: Column, stage: str, asset_id: Column | None = None,
     return [request_id.alias("request_id"), (asset_id if asset_id is not None else none).alias("asset_id"), F.lit(stage).alias("stage"), (detail if detail is not None else none).alias("detail"), (success if success is not None else F.lit(True)).alias("success"), (error if error is not None else none).alias("error_message"), F.current_timestamp().alias("created_at")]
 
 
+def write_lineage(rows: DataFrame, path: str) -> None:
+    """Append lineage entries to a table partitioned by stage."""
+    rows.write.mode("append").partitionBy("stage").parquet(path)
+
+
+def lineage(spark: SparkSession, path: str, request_id: str | None = None) -> DataFrame:
+    """The lineage written so far, of one request or all; only wanted stages and columns are read."""
+    rows = spark.read.schema("request_id string, asset_id string, detail string, success boolean, error_message string, created_at timestamp, stage string").parquet(path)
+    return rows if request_id is None else rows.filter(F.col("request_id") == request_id)
+
+
+def stage_counts(rows: DataFrame) -> DataFrame:
+    """(stage, entries, succeeded, failed, requests): how lineage entries are spread over the stages."""
+    return rows.groupBy("stage").agg(F.count("*").alias("entries"), F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.countDistinct("request_id").alias("requests"))
+
+
+def newest(rows: DataFrame, limit: int = 100, owner: str | None = None, ident: str = "id") -> DataFrame:
+    """The newest rows first, at most 100. An owner is looked for among those only: the limit comes before the filter."""
+    first = rows.orderBy(F.col("created_at").desc_nulls_last(), ident).limit(min(limit, 100))
+    return first if owner is None else first.filter(F.col("owner") == owner)
+
+
+def batches(assets: DataFrame) -> DataFrame:
+    """(batch_no, created_at, owner, total, processed, percent): what is known of each batch; its owner is that of its first asset."""
+    done = F.count_if(F.col("status").isin("done", "failed"))
+    rows = assets.groupBy("batch_no").agg(F.min("created_at").alias("created_at"), F.min_by("owner", "ingest_no").alias("owner"), F.count("*").alias("total"), done.alias("processed"))
+    return rows.withColumn("percent", progress(F.col("processed"), F.col("total")))
+
+
+def schema_counts(schemas: DataFrame, assets: DataFrame, key: str = "schema_name") -> DataFrame:
+    """(key, status, assets): every schema with the number of its assets, none included, in one join."""
+    own = assets.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("assets"))
+    return schemas.select(key, "status").join(own, key, "left").withColumn("assets", F.coalesce("assets", F.lit(0)))
+
+
 class DeadLetters:
     """Dead letters as a table partitioned by job type."""
 
@@ -95,6 +132,16 @@ def decide_schema(schemas: DataFrame, name: str, approve: bool, reason: str = ""
     return out if approve else out.withColumn("decision_reason", F.when(here, F.concat_ws("; ", "decision_reason", F.lit(f"rejected: {reason}"))).otherwise(F.col("decision_reason")))
 
 
+def approve_schema(schemas: DataFrame, assets: DataFrame, name: str, run: Callable[[str], None], ddl: str, approve: bool = True, reason: str = "") -> tuple[DataFrame, DataFrame]:
+    """(schemas, assets) after the decision: approving runs the DDL through ``run`` and moves queued assets of the schema to processing; rejecting moves
+    them to failed. A DDL that fails leaves everything as it was."""
+    decided = decide_schema(schemas, name, approve, reason)
+    if approve:
+        run(ddl)
+    waiting = (F.col("schema_name") == name) & (F.col("status") == "queued")
+    return decided, assets.withColumn("status", F.when(waiting, "processing" if approve else "failed").otherwise(F.col("status")))
+
+
 def registered_schemas(known: DataFrame, found: DataFrame, active: bool = False) -> DataFrame:
     """``known`` and those of ``found`` whose structure_hash is new, as provisional (or active) schemas."""
     fresh = found.dropDuplicates(["structure_hash"]).join(known.select("structure_hash"), "structure_hash", "left_anti").withColumn("status", F.lit("active" if active else "provisional"))

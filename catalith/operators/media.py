@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from catalith.functions.vector import dot, mean_vector
+
 # --- fixed values: defaults of picture metadata, zero-shot categories, limits
 GREYS = ("#808080", "#A0A0A0", "#C0C0C0")
 NO_CATEGORY, NO_DESCRIPTION, NO_SCENE, NO_NAME, NO_TAG = "unknown", "No description available", "abstract", "Mixed Content", "content"
@@ -141,11 +143,15 @@ def palette(frame: np.ndarray, bands: int = 3) -> list[str]:
     return ["#{:02x}{:02x}{:02x}".format(*(int(v) for v in part.reshape(-1, 3).mean(axis=0))) for part in np.array_split(frame, bands)]
 
 
+def edge_density(grey: np.ndarray) -> float:
+    """Share of pixels at which the brightness changes by more than 50 to the right and below together."""
+    dx, dy = np.abs(np.diff(grey.astype(float), axis=1)), np.abs(np.diff(grey.astype(float), axis=0))
+    return float(((np.pad(dx, ((0, 0), (0, 1))) + np.pad(dy, ((0, 1), (0, 0)))) > 50).mean())
+
+
 def text_likely(grey: np.ndarray, words: Sequence[tuple[str, float]] = (), density: float = 0.15, least: int = 5) -> tuple[bool, float]:
     """Whether a picture holds text: enough edges, then at least five words above confidence 60, and their mean confidence."""
-    dx, dy = np.abs(np.diff(grey.astype(float), axis=1)), np.abs(np.diff(grey.astype(float), axis=0))
-    edges = (np.pad(dx, ((0, 0), (0, 1))) + np.pad(dy, ((0, 1), (0, 0)))) > 50
-    if edges.mean() < density:
+    if edge_density(grey) < density:
         return False, 0.0
     good = [c for w, c in words if w.strip() and c > CONFIDENCE]
     return len(good) >= least, float(np.mean(good)) / 100 if good else 0.0
@@ -205,3 +211,64 @@ def fitted(width: Column, height: Column, longest: int = 1024) -> Column:
     """struct(width, height) of a picture shrunk so that its longest side fits; whole pixels, smaller ones unchanged."""
     scale = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(width, height))
     return F.struct((width * scale).cast("int").alias("width"), (height * scale).cast("int").alias("height"))
+
+
+PICTURE = "perceptual_hash string, palette array<string>, edges double, has_text boolean, confidence double, error string"
+
+
+def analysed_pictures(df: DataFrame, ident: str = "id") -> DataFrame:
+    """(ident, perceptual_hash, palette, edges, has_text, confidence, error) of decoded pictures (ident, pixels, width, height[, words, confidences]).
+
+    ``pixels`` are grey values or red, green and blue ones from 0 to 255, row by row. A picture that is null or whose pixels do not fill its size has an error and
+    nothing else, and holds up no other. ``words`` with ``confidences`` are what a reader recognised; without them no picture holds text.
+    """
+    read = [c for c in ("words", "confidences") if c in df.columns]
+
+    def one(p: object, w: object, h: object, words: object, sure: object) -> tuple:
+        if p is None or not w or not h or w <= 0 or h <= 0 or len(p) not in (int(w) * int(h), 3 * int(w) * int(h)):
+            raise ValueError("the pixels do not fill the size")
+        flat = np.asarray(p, float)
+        colour = flat.reshape(int(h), int(w), 3) if len(flat) == 3 * int(w) * int(h) else np.repeat(flat.reshape(int(h), int(w))[:, :, None], 3, axis=2)
+        grey = colour @ np.array([0.299, 0.587, 0.114])
+        pairs = [(x, float(c)) for x, c in zip(words, sure, strict=False) if x is not None and c is not None] if words is not None and sure is not None else []
+        text, mean = text_likely(grey, pairs)
+        return f"{perceptual_hash(grey):016x}", palette(colour), edge_density(grey), text, mean, None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for row in f.itertuples(index=False):
+                words, sure = (row[4], row[5]) if len(read) == 2 else (None, None)
+                try:
+                    out.append((row[0], *one(row[1], row[2], row[3], words, sure)))
+                except Exception as e:  # noqa: BLE001 - one bad picture is one row with an error
+                    out.append((row[0], None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[ident, *[c.split()[0] for c in PICTURE.split(", ")]])
+
+    return df.select(ident, "pixels", "width", "height", *(read if len(read) == 2 else [])).mapInPandas(run, f"{ident} {dict(df.dtypes)[ident]}, {PICTURE}")
+
+
+def chosen_frames(df: DataFrame, group: str, order: str, wanted: int = KEYFRAMES) -> DataFrame:
+    """(group, order, place): the ``wanted`` frames of each group that differ most in colour, in order. ``df``: (group, order, pixels) with red, green and blue
+    values; null frames are left out. A group is the frames of one video, which one task holds."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f[f.pixels.notna()].sort_values(order).reset_index(drop=True)
+        kept = diverse_frames([np.asarray(p, float) for p in f.pixels], wanted)
+        return pd.DataFrame({group: f[group].iloc[kept], order: f[order].iloc[kept], "place": range(len(kept))})
+
+    kinds = dict(df.dtypes)
+    return df.select(group, order, "pixels").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, place int")
+
+
+def heaviest_frames(df: DataFrame, group: str, order: str, top: int = KEYFRAMES, vector: str = "embedding", temperature: float = 0.08) -> DataFrame:
+    """(group, order, weight, place): the frames of each group with the largest attention weights, softmax of their dot products with the group's mean."""
+    rows = df.filter(F.col(vector).isNotNull())
+    mean = mean_vector(rows, [group], vector, unit=False, name="mean")
+    score = rows.join(mean, group).select(group, order, (dot(F.col(vector), F.col("mean")) / temperature).alias("z"))
+    best = score.groupBy(group).agg(F.max("z").alias("top_z"))
+    weight = score.join(best, group).withColumn("w", F.exp(F.col("z") - F.col("top_z")))
+    total = weight.groupBy(group).agg(F.sum("w").alias("total"))
+    place = F.row_number().over(W.partitionBy(group).orderBy(F.col("z").desc(), order))
+    ranked = weight.select(group, order, "w", "z").withColumn("place", place).filter(F.col("place") <= top)  # cut to so many in the map tasks
+    return ranked.join(total, group).select(group, order, F.round(F.col("w") / F.col("total"), 6).alias("weight"), "place")

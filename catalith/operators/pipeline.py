@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions import mime
 from catalith.operators import chunks, clusters, hashes, media, profile
+from catalith.session import stash
 from catalith.sources.folder import raw_uri
 
 SAMPLE = 128
@@ -51,9 +52,9 @@ def sampled(df: DataFrame, body: str = "body", limit: int = SAMPLE) -> DataFrame
 
 
 def ingest_json(docs: DataFrame, known: DataFrame, hint: str | None = None, active: bool = False, ident: str = "record_id", body: str = "body") -> dict[str, DataFrame]:
-    """Profile, decide, register: {decision, schemas, assets}. ``known``: (name, structure_hash, status). Only the decision, one
+    """Profile a sample of :data:`SAMPLE` documents, decide, register all: {decision, schemas, assets}. ``known``: (name, structure_hash, status). Only the decision, one
     row, comes to the driver."""
-    fields = profile.field_statistics(profile.paths(docs, ident, body)).cache()
+    fields = stash(profile.field_statistics(profile.paths(sampled(docs, body), ident, body)), "fields")
     decision = profile.decision(profile.summary(fields)).crossJoin(profile.fingerprint(fields))  # one row each
     row = decision.first()
     name = profile.collection_name(hint, row.fingerprint, row.storage)
@@ -93,18 +94,21 @@ def replaced_chunks(stored: DataFrame, fresh: DataFrame, key: str = "asset_id")
 def ingest_media(fresh: DataFrame, stored: DataFrame, known: DataFrame) -> DataFrame:
     """(id, duplicate_of, cluster_id, status) for new media (id, sha256, perceptual_hash, embedding): exact duplicates first, then
     near ones among the stored (id, sha256, perceptual_hash, cluster_id, status, created_at); a duplicate takes over the cluster of
-    its original, the others get the best cluster."""
+    its original, the others get the best cluster. A medium with several hashes has a row for each on either side."""
     done = stored.filter("status = 'done'")
-    exact = fresh.join(done.filter("sha256 IS NOT NULL").groupBy("sha256").agg(F.min_by("id", F.struct("created_at", "id")).alias("first")), "sha256").select("id", "first")
-    rest = fresh.join(exact, "id", "left_anti").select("id", hashes.hash_value(F.col("perceptual_hash")).alias("a")).filter("a IS NOT NULL")
-    old = done.select(F.col("id").alias("first"), "created_at", hashes.hash_value(F.col("perceptual_hash")).alias("b")).filter("b IS NOT NULL")
+    first_of = F.min(F.struct("created_at", F.col("id").alias("first"))).alias("o")
+    exact = fresh.select("id", "sha256").distinct().join(done.filter("sha256 IS NOT NULL").groupBy("sha256").agg(first_of), "sha256").groupBy("id").agg(F.min("o").alias("o"))
+    rest = fresh.join(exact, "id", "left_anti").select("id", hashes.hash_value(F.col("perceptual_hash")).alias("a")).filter("a IS NOT NULL").distinct()
+    old = done.select("id", "created_at", hashes.hash_value(F.col("perceptual_hash")).alias("b")).filter("b IS NOT NULL")
     values = rest.select(F.col("a").alias("value")).unionByName(old.select(F.col("b").alias("value"))).distinct()
     pairs = hashes.near_values(values).select("a", "b").unionByName(values.select(F.col("value").alias("a"), F.col("value").alias("b")))
-    origin = old.groupBy("b").agg(F.min(F.struct("created_at", "first")).alias("o"))
-    near = rest.join(pairs.join(origin, "b").groupBy("a").agg(F.min("o").alias("o")), "a").select("id", F.col("o.first").alias("first"))
-    dup = exact.unionByName(near).join(stored.select(F.col("id").alias("first"), F.col("cluster_id").alias("old_cluster")), "first")
-    best = clusters.assign_best(fresh, known).select("id", "cluster_id")
-    rows = fresh.select("id").join(dup, "id", "left").join(best, "id", "left")
+    origin = old.groupBy("b").agg(first_of)
+    near = rest.join(pairs.join(origin, "b").groupBy("a").agg(F.min("o").alias("o")), "a").groupBy("id").agg(F.min("o").alias("o"))
+    owned = stored.select(F.col("id").alias("first"), F.col("cluster_id").alias("old_cluster")).distinct()
+    dup = exact.unionByName(near).select("id", F.col("o.first").alias("first")).join(owned, "first")
+    one = fresh.select("id", "embedding").dropDuplicates(["id"])
+    best = clusters.assign_best(one, known).select("id", "cluster_id")
+    rows = one.select("id").join(dup, "id", "left").join(best, "id", "left")
     return rows.select("id", F.col("first").alias("duplicate_of"), F.when(F.col("first").isNotNull(), F.col("old_cluster")).otherwise(F.col("cluster_id")).alias("cluster_id"), F.lit("done").alias("status"))
 
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalith.session import spread
@@ -82,6 +83,39 @@ def paths(df: DataFrame, ident: str = "record_id", body: str = "body", max_depth
     return spread(df.select(F.col(ident).cast("string"), F.col(body))).mapInArrow(run, "doc string, ord int, path string, type string, depth int, length int")
 
 
+def sample_values(df: DataFrame, ident: str = "record_id", body: str = "body", max_depth: int = 5, most: int = SAMPLE_VALUES) -> DataFrame:
+    """(path, samples): the first ``most`` values of every field that are not null, as JSON text, in order of the document ids. Each task keeps so many of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept: dict[str, list[tuple[str, str]]] = {}
+
+            def visit(doc: str, node: dict, prefix: str, depth: int) -> None:
+                for k, v in node.items():
+                    path = f"{prefix}.{k}" if prefix else k
+                    if v is not None:
+                        kept.setdefault(path, []).append((doc, json.dumps(v, ensure_ascii=False, sort_keys=True)))  # noqa: B023
+                    if isinstance(v, dict) and depth < max_depth:
+                        visit(doc, v, path, depth + 1)
+
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    value = json.loads(text) if text is not None else None
+                except (ValueError, RecursionError):
+                    continue
+                for one in value if isinstance(value, list) else [value]:
+                    if isinstance(one, dict) and doc is not None:
+                        visit(doc, one, "", 1)
+            rows = [(p, d, v) for p, entries in kept.items() for d, v in sorted(entries)[:most]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["path", "doc", "value"])
+
+    rows = df.select(F.col(ident).cast("string"), F.col(body)).mapInArrow(run, "path string, doc string, value string")
+    place = F.row_number().over(W.partitionBy("path").orderBy("doc", "value"))
+    first = rows.withColumn("place", place).filter(F.col("place") <= most)  # cut to so many in the map tasks
+    return first.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("samples"))
+
+
 def field_statistics(flat: DataFrame) -> DataFrame:
     """(path, docs, presence, nulls, max_length, depth, dominant, stability): one row per path."""
     total = flat.filter("ord = -1").agg(F.count("*").alias("docs"))

@@ -27,6 +27,8 @@ class SearchFilter:
     cluster_id: str | None = None
     tags: Sequence[str] = field(default_factory=tuple)
     status: str | None = None
+    parent: str | None = None
+    content_prefix: str | None = None
 
     def __post_init__(self) -> None:
         if self.kind is not None and self.kind not in KINDS:
@@ -34,7 +36,9 @@ class SearchFilter:
 
     def conditions(self) -> list[Column]:
         out = [F.col("embedding").isNotNull()]
-        out += [F.col(c) == v for c, v in (("kind", self.kind), ("owner", self.owner), ("cluster_id", self.cluster_id), ("status", self.status)) if v is not None]
+        out += [F.col(c) == v for c, v in (("kind", self.kind), ("owner", self.owner), ("cluster_id", self.cluster_id), ("status", self.status), ("parent_asset_id", self.parent)) if v is not None]
+        if self.content_prefix is not None:
+            out.append(F.col("content_type").startswith(self.content_prefix))
         if self.tags:
             out.append(F.arrays_overlap("tags", F.array(*map(F.lit, self.tags))))
         return out
@@ -84,6 +88,11 @@ def semantic_search(assets: DataFrame, clusters: DataFrame, query: Sequence[floa
     return named.select("id", "kind", "owner", "cluster_id", "cluster_name", F.round("similarity", 4).alias("similarity"))
 
 
+def total(results: DataFrame, limit: int) -> DataFrame:
+    """(total): the number of results of a search, which is counted after its limit and so never above it."""
+    return results.limit(limit).agg(F.count("*").alias("total"))
+
+
 def unified_search(assets: DataFrame, query: Sequence[float], kind: str | None = None, limit: int = LIMIT, least: float = MIN_SIMILARITY) -> DataFrame:
     """(id, leg, similarity): media and document legs, each cut to its best, ranked together by the rounded score; a
     kind without a leg gives no rows."""

@@ -238,7 +238,7 @@ def json_registered(spark: SparkSession, folder: str) -> DataFrame:
     """Bodies registered under the hash of their canonical text."""
     from catalith.operators import profile
 
-    return profile.registered(table(spark, folder, "nested_config"), "configs", "jsonb", True)
+    return profile.registered(table(spark, folder, "nested_config"), "configs", "jsonb", True).unionByName(profile.registered(table(spark, folder, "complex_orders"), "orders", "jsonb", True))
 
 
 def cluster_unique_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -248,9 +248,9 @@ def cluster_unique_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def media_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """New media against the history: duplicate of, and cluster."""
+    """New media against the history, by all hashes of each: duplicate of, and cluster."""
     a = table(spark, folder, "asset").filter("kind = 'media'")
-    h = table(spark, folder, "media_metadata").groupBy(F.col("asset_id").alias("id")).agg(F.min("perceptual_hash").alias("perceptual_hash"))
+    h = table(spark, folder, "media_metadata").select(F.col("asset_id").alias("id"), "perceptual_hash").distinct()
     rows = a.join(h, "id", "left").withColumn("sha256", F.lower(F.trim("sha256")))
     stored = rows.filter("batch_no = 0").select("id", "sha256", "perceptual_hash", "cluster_id", "status", "created_at")
     return pipeline.ingest_media(rows.filter("batch_no > 0").select("id", "sha256", "perceptual_hash", "embedding"), stored, table(spark, folder, "media_cluster"))
@@ -287,7 +287,19 @@ _WIN = lambda size, step: f"(SELECT doc_id, row_number() OVER (PARTITION BY doc_
 _BUCKETS = ", ".join(f"count(*) FILTER (value <= {b})" for b in windows.BOUNDS)
 _TAGS = "string_agg(trim(t), '|' ORDER BY k) FILTER (trim(t) <> '')"
 
+_PH = r"regexp_replace(regexp_replace(lower(perceptual_hash), '^\s+|\s+$', '', 'g'), '^0x', '')"
+
 SQL = {
+    "media_ingest": rf"""WITH m AS (SELECT id, batch_no, lower(trim(sha256)) AS sha, cluster_id, status, created_at, embedding FROM asset WHERE kind = 'media'),
+h AS (SELECT DISTINCT asset_id AS id, ('0x' || {_PH})::UBIGINT AS v FROM media_metadata WHERE regexp_full_match({_PH}, '[0-9a-f]{{16}}')),
+f AS (SELECT * FROM m WHERE batch_no > 0), s AS (SELECT * FROM m WHERE batch_no = 0 AND status = 'done'),
+exact AS (SELECT f.id, arg_min(s.id, (s.created_at, s.id)) AS first FROM f JOIN s USING (sha) GROUP BY 1),
+near AS (SELECT f.id, arg_min(s.id, (s.created_at, s.id)) AS first FROM f JOIN h a ON a.id = f.id JOIN h b ON bit_count(xor(a.v, b.v)) <= 4 JOIN s ON s.id = b.id WHERE f.id NOT IN (SELECT id FROM exact) GROUP BY 1),
+dup AS (SELECT * FROM exact UNION ALL SELECT * FROM near),
+c AS (SELECT id AS cid, CASE WHEN coalesce(threshold, 0) = 0 THEN 0.72 ELSE threshold END AS t, list_transform(centroid::DOUBLE[], lambda x: x / sqrt(list_dot_product(centroid::DOUBLE[], centroid::DOUBLE[]))) AS e FROM media_cluster WHERE centroid IS NOT NULL),
+best AS (SELECT id, cid FROM (SELECT f.id, cid, row_number() OVER (PARTITION BY f.id ORDER BY round(list_dot_product(f.embedding::DOUBLE[], c.e), 12) DESC, cid) AS rn FROM f JOIN c ON f.embedding IS NOT NULL AND list_dot_product(f.embedding::DOUBLE[], c.e) >= c.t) WHERE rn = 1)
+SELECT f.id, first AS duplicate_of, CASE WHEN first IS NOT NULL THEN o.cluster_id ELSE best.cid END AS cluster_id, 'done' AS status FROM f LEFT JOIN dup ON dup.id = f.id LEFT JOIN m o ON o.id = first LEFT JOIN best ON best.id = f.id""",
+    "cluster_labels": "WITH f AS (SELECT cluster_id, tags, row_number() OVER (PARTITION BY cluster_id ORDER BY id) AS rn FROM asset WHERE cluster_id IS NOT NULL), t AS (SELECT cluster_id, tag, count(*) AS n FROM (SELECT cluster_id, unnest(tags) AS tag FROM f WHERE rn <= 5) WHERE tag IS NOT NULL AND tag <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, tag) AS k FROM t) SELECT cluster_id, coalesce(string_agg(tag, ' ' ORDER BY k) FILTER (k <= 2), 'Mixed Content') AS label FROM (SELECT DISTINCT cluster_id FROM f) LEFT JOIN r USING (cluster_id) GROUP BY 1",
     "mime_kind_limits": f"SELECT id, CASE WHEN grp IN ('image', 'video', 'audio') THEN 'media' ELSE coalesce(grp, 'unknown') END AS kind, grp, CASE WHEN grp IS NULL THEN 'unsupported' WHEN size_bytes > {_LIM} THEN 'too large' ELSE 'valid' END AS verdict FROM (SELECT id, size_bytes, {_GRP} AS grp FROM asset_raw)",
     "extension_category": f"SELECT {_EXT} AS extension, coalesce({_CAT}, 'other') AS category, count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM asset_raw GROUP BY 1, 2",
     "scan_statistics": f"SELECT count(*) AS total_files, sum(size_bytes)::BIGINT AS total_size_bytes, " + ", ".join(f"count(*) FILTER (c = '{c}') AS {c}" for c in mime.EXTENSIONS) + f" FROM (SELECT size_bytes, {_CAT} AS c FROM asset_raw)",

@@ -83,7 +83,22 @@ _UUID = r"""CASE WHEN regexp_full_match(regexp_replace(regexp_replace(regexp_rep
   THEN regexp_replace(regexp_replace(regexp_replace(lower(job_id), '^\s+|\s+$', '', 'g'), '^\{?(urn:)?(uuid:)?', ''), '[{}\-]', '', 'g')
   ELSE 'text:' || regexp_replace(job_id, '^\s+|\s+$', '', 'g') END"""
 
+_DECODED = r"""CASE WHEN json_type({0}) = 'VARCHAR' AND regexp_matches({0}->>'$', '^\s*[\{{\[]') AND json_valid({0}->>'$') THEN ({0}->>'$')::JSON ELSE {0} END"""
+_CHILD = _DECODED.format("c.j")
+_TREE = rf"""WITH RECURSIVE bodies AS (SELECT record_id, 'items' AS path, body::JSON AS v FROM complex_orders WHERE json_valid(body) UNION ALL SELECT record_id, 'config', body::JSON FROM nested_config WHERE json_valid(body)),
+roots AS (SELECT record_id, path, {_DECODED.format("v")} AS v FROM bodies),
+tops AS (SELECT record_id, path, {_DECODED.format("w")} AS v FROM (SELECT record_id, path, json_extract(v, '$.' || path) AS w FROM roots) WHERE w IS NOT NULL),
+tree AS (SELECT record_id, path, v, false AS deep FROM tops
+  UNION ALL SELECT record_id, path || c.p AS path, {_CHILD} AS v, true FROM (SELECT record_id, path, unnest(CASE json_type(v) WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {{'p': '.' || k, 'j': json_extract(v, '$."' || k || '"')}})
+    WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: {{'p': '[' || i || ']', 'j': json_extract(v, '$[' || i || ']')}}) END) AS c FROM tree WHERE json_type(v) IN ('OBJECT', 'ARRAY')))
+"""
+
 SQL = {
+    "p2_found": _TREE + """SELECT DISTINCT record_id, path AS node_path, v->>'$' AS leaf_value FROM tree WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL')
+  AND ((starts_with(path, 'items') AND ends_with(path, '.product_id')) OR (starts_with(path, 'config.database') AND ends_with(path, '.host')))""",
+    "p2_orders": rf"""SELECT record_id, CASE WHEN json_type(v, '$.order_id') NOT IN ('OBJECT', 'ARRAY') THEN v->>'$.order_id' END AS order_id, coalesce(CASE WHEN json_type(c) NOT IN ('OBJECT', 'ARRAY') THEN c->>'$' END, c->>'$.code') AS customer, ({_DECODED.format("(s->'$.address')")})->>'$.city' AS city, v->>'$.total' AS total
+  FROM (SELECT record_id, v, {_DECODED.format("(v->'$.customer')")} AS c, {_DECODED.format("(v->'$.shipping')")} AS s FROM (SELECT record_id, {_DECODED.format("b")} AS v FROM (SELECT record_id, body::JSON AS b FROM complex_orders WHERE json_valid(body))) WHERE json_type(v) = 'OBJECT')
+  WHERE coalesce(v->'$.order_id', v->'$.total', c, s->'$.address') IS NOT NULL""",
     "p6_found": rf"""SELECT 'queue_message' AS origin, arrival_no FROM (SELECT arrival_no, row_number() OVER (PARTITION BY k, r ORDER BY arrival_no) AS rn
   FROM (SELECT arrival_no, {_UUID} AS k, coalesce(retry_count, 0) AS r FROM queue_message) WHERE k IS NOT NULL) WHERE rn > 1
 UNION ALL SELECT 'asset_raw', arrival_no FROM (SELECT arrival_no, row_number() OVER (PARTITION BY k, p ORDER BY arrival_no) AS rn

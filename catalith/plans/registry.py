@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("problems", "search_queries", "json_queries", "catalog_queries")
+MODULES = ("problems", "search_queries", "json_queries", "catalog_queries", "service_queries")
 
 
 def queries() -> dict[str, Query]:
