@@ -34,7 +34,7 @@ from catalith.session import drop_stash, stash
 THRESHOLD = 0.72
 #: Largest sample of pivots, cosine to an anchor, least cosine of an affinity, cells a node is compared in, affinities kept per node
 #: and cell, and nodes from which a cell is crowded.
-PIVOTS, CLOSE, AFFINE, CELLS, LINKS, CROWDED = 2048, 0.80, 0.6, 6, 12, 4096
+PIVOTS, CLOSE, AFFINE, CELLS, LINKS, CROWDED = 2048, 0.80, 0.6, 8, 12, 4096
 #: Iterated vectors, iterations, drop of the cosine by which an affinity falls to 1/e, cosine that a node has with itself, distance in the
 #: embedding, relative to its spread, under which linked nodes are one, and most rounds of k-means.
 VECTORS, ITERATIONS, FALL, OWN, NEAR, ROUNDS = 6, 6, 0.09, 0.9, 0.2, 12
@@ -340,7 +340,7 @@ def clusters(df: DataFrame, known: DataFrame | None = None, ident: str = "id", c
         given = stash(given.groupBy("id").agg(F.min("vec").alias("vec"), F.min("threshold").alias("threshold")).select(F.xxhash64(F.concat(F.lit("known:"), "id")).alias("id"), "vec", "threshold"), "known")
         nodes = nodes.unionByName(given.select("id", "vec", F.lit(0).cast("bigint").alias("n")))
     nodes = stash(nodes, "nodes")
-    edges = stash(affinities(nodes, table), "edges")
+    edges = stash(affinities(nodes, table[: max(16, len(table) // 2)]), "edges")  # fewer, larger cells than those of the anchors
     labels = spectral_labels(edges, nodes.select("id", "n"))
 
     # Centres: the mean of the members, or the known ones where a label has any; there the mean takes only what they leave.
