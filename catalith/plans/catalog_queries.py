@@ -71,9 +71,9 @@ def parent_child(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def new_docs_anti(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests in the queue that no upload belongs to."""
-    q = table(spark, folder, "queue_message").filter("request_id IS NOT NULL").select("request_id").distinct()
-    return jobs.new_requests(q, table(spark, folder, "asset_raw").select(deliveries.stripped(F.col("request_id")).alias("request_id")), "request_id")
+    """Requests of the new batches of uploads that no upload of the history has."""
+    rows = table(spark, folder, "asset_raw").select("batch_no", deliveries.stripped(F.col("request_id")).alias("request_id")).filter("request_id IS NOT NULL")
+    return jobs.new_requests(rows.filter("batch_no > 0").select("request_id").distinct(), rows.filter("batch_no = 0"), "request_id")
 
 
 def job_assets_explode(spark: SparkSession, folder: str) -> DataFrame:
@@ -308,7 +308,7 @@ SELECT f.id, first AS duplicate_of, CASE WHEN first IS NOT NULL THEN o.cluster_i
     "tag_csv_parse": f"SELECT DISTINCT asset_id, coalesce(x, '') AS tags FROM (SELECT rid, any_value(asset_id) AS asset_id, {_TAGS} AS x FROM (SELECT rid, asset_id, unnest(parts) AS t, generate_subscripts(parts, 1) AS k FROM (SELECT row_number() OVER () AS rid, asset_id, string_split(array_to_string(tags, ' , '), ',') AS parts FROM vlm_metadata WHERE len(tags) > 0)) GROUP BY rid)",
     "join_chunk_asset": "SELECT doc_id, d.asset_id, kind, owner, page_number, element_type FROM documents d JOIN asset a ON a.id = d.asset_id WHERE status = 'done'",
     "parent_child": "SELECT p.id, p.kind, count(*) AS children, min(c.id) AS first_child FROM asset p JOIN asset c ON c.parent_asset_id = p.id GROUP BY ALL",
-    "new_docs_anti": f"SELECT DISTINCT request_id FROM queue_message WHERE request_id IS NOT NULL AND request_id NOT IN (SELECT {_STRIP} FROM asset_raw WHERE request_id IS NOT NULL)",
+    "new_docs_anti": f"SELECT DISTINCT {_STRIP} AS request_id FROM asset_raw WHERE batch_no > 0 AND request_id IS NOT NULL AND {_STRIP} NOT IN (SELECT {_STRIP} FROM asset_raw WHERE batch_no = 0 AND request_id IS NOT NULL)",
     "job_assets_explode": "SELECT DISTINCT arrival_no, a.id AS asset_id, kind, status FROM (SELECT arrival_no, unnest(from_json(job_data->'$.asset_ids', '[\"VARCHAR\"]')) AS id FROM queue_message WHERE coalesce(retry_count, 0) = 0) q JOIN asset a ON a.id = q.id",
     "status_rollup": f"WITH c AS (SELECT {_STRIP} AS request_id, count(*) AS total, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed FROM asset a JOIN asset_raw r ON r.id = a.raw_asset_id GROUP BY 1) SELECT *, CASE WHEN done + failed = total THEN CASE WHEN failed = 0 THEN 'done' WHEN done = 0 THEN 'failed' ELSE 'partial' END WHEN processing > 0 OR done + failed > 0 THEN 'processing' ELSE 'queued' END AS status FROM c",
     "batch_progress": "SELECT batch_no, count(*) AS total, count(*) FILTER (status IN ('done', 'failed')) AS processed, round(count(*) FILTER (status IN ('done', 'failed')) * 100.0 / count(*), 2)::DOUBLE AS percent FROM asset GROUP BY batch_no",

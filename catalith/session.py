@@ -49,10 +49,11 @@ def stash(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet below :func:`scratch` and read it back.
 
     Unlike a cached or locally checkpointed plan, the written table survives the loss of any executor, and it
-    is columnar and compressed, so it is also smaller on disk.
+    is columnar and compressed, so it is also smaller on disk. It is removed when the application ends, if not before.
     """
     path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,6 +63,12 @@ def drop_stash(df: DataFrame) -> None:
         drop_folder(df.sparkSession, folder)
 
 
+def drop_at_end(spark: SparkSession, folder: str) -> None:
+    """Remove a folder when the application's file system is closed, on whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def drop_folder(spark: SparkSession, folder: str) -> None:
     """Remove a folder and all below it, on whatever file system it is."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
