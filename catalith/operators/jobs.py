@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from catalith.session import stash
+
 MAX_RETRIES = 3
 STATUSES = ("queued", "processing", "done", "failed")
 
@@ -31,9 +33,16 @@ def retry_schedule(jobs: DataFrame) -> DataFrame:
 
 def due(jobs: DataFrame, now: Column) -> DataFrame:
     """The jobs that may run at ``now``, with their place: higher priority first, then older, then by arrival. The place is within
-    a job type."""
+    a job type. The queue is sorted in ranges and places are counted range by range, so that no task holds all jobs of a type."""
+    order = [F.col("priority").desc_nulls_last(), F.col("created_at").asc_nulls_first(), F.col("arrival_no").asc_nulls_first()]
     ready = jobs.filter(F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now))
-    return ready.withColumn("place", F.row_number().over(W.partitionBy("job_type").orderBy(F.col("priority").desc(), "created_at", "arrival_no")))
+    ranges = ready.repartitionByRange("job_type", *order).sortWithinPartitions("job_type", *order)
+    ranges = stash(ranges.withColumn("__range", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("n").over(W.partitionBy("__type").orderBy("__of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = ranges.groupBy(F.col("job_type").alias("__type"), F.col("__range").alias("__of")).agg(F.count("*").alias("n")).withColumn("__before", before).drop("n")
+    inside = F.row_number().over(W.partitionBy("job_type", "__range").orderBy(*order))
+    placed = ranges.withColumn("__inside", inside).join(counts, F.col("job_type").eqNullSafe(F.col("__type")) & (F.col("__range") == F.col("__of")))
+    return placed.withColumn("place", (F.col("__inside") + F.col("__before")).cast("int")).select(*[F.col(f"`{c}`") for c in jobs.columns], "place")
 
 
 def roll_up(assets: DataFrame, key: str) -> DataFrame:

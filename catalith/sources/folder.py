@@ -71,23 +71,24 @@ class BlobStore:
     def put(self, blobs: DataFrame) -> None:
         """Store (uri, content); a URI stored again has its latest content."""
         area = F.regexp_extract("uri", r"^fs://([^/]+)", 1)
-        blobs.filter(F.col("uri").startswith("fs://")).select("uri", "content", area.alias("area"), F.current_timestamp().alias("stored_at")).write.mode("append").partitionBy("area").parquet(self.root)
+        blobs.filter(F.col("uri").startswith("fs://")).select("uri", "content", F.octet_length("content").cast("bigint").alias("size_bytes"), area.alias("area"), F.current_timestamp().alias("stored_at")).write.mode("append").partitionBy("area").parquet(self.root)
 
-    def _all(self) -> DataFrame:
-        rows = self.spark.read.schema("uri string, content binary, stored_at timestamp, area string").parquet(self.root)
-        return rows.groupBy("uri").agg(F.max_by("content", "stored_at").alias("content"))
+    def _last(self, column: str) -> DataFrame:
+        """(uri, column) of the latest entry of each URI; no other column is read."""
+        rows = self.spark.read.schema("uri string, content binary, size_bytes bigint, stored_at timestamp, area string").parquet(self.root)
+        return rows.groupBy("uri").agg(F.max_by(column, "stored_at").alias(column))
 
     def get(self, uris: DataFrame) -> DataFrame:
         """(uri, content, size_bytes, found) for each wanted URI; a URI of another scheme is an error."""
         if not uris.filter(~F.col("uri").startswith("fs://")).isEmpty():
             raise ValueError("only fs:// URIs can be read")
-        return uris.join(self._all(), "uri", "left").select("uri", "content", F.octet_length("content").alias("size_bytes"), F.col("content").isNotNull().alias("found"))
+        return uris.join(self._last("content"), "uri", "left").select("uri", "content", F.octet_length("content").alias("size_bytes"), F.col("content").isNotNull().alias("found"))
 
     def list(self, prefix: str = "fs://") -> DataFrame:
-        """(uri, size_bytes) below a prefix."""
-        return self._all().filter(F.col("uri").startswith(prefix) & F.col("content").isNotNull()).select("uri", F.octet_length("content").alias("size_bytes"))
+        """(uri, size_bytes) below a prefix, from the sizes stored beside the contents, which are not read."""
+        return self._last("size_bytes").filter(F.col("uri").startswith(prefix) & F.col("size_bytes").isNotNull())
 
     def delete(self, uris: DataFrame) -> None:
         """Forget contents: a later entry without content hides the earlier ones."""
         area = F.regexp_extract("uri", r"^fs://([^/]+)", 1)
-        uris.select("uri", F.lit(None).cast("binary").alias("content"), area.alias("area"), F.current_timestamp().alias("stored_at")).write.mode("append").partitionBy("area").parquet(self.root)
+        uris.select("uri", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("bigint").alias("size_bytes"), area.alias("area"), F.current_timestamp().alias("stored_at")).write.mode("append").partitionBy("area").parquet(self.root)

@@ -68,7 +68,10 @@ def test_blob_store(spark, tmp_path):
     store.put(spark.createDataFrame([("fs://incoming/r/p/a", b"one"), ("fs://media/clusters/c/b", b"two")], "uri string, content binary"))
     got = {r.uri: (bytes(r.content) if r.content else None, r.found) for r in store.get(spark.createDataFrame([("fs://incoming/r/p/a",), ("fs://none",)], "uri string")).collect()}
     assert got == {"fs://incoming/r/p/a": (b"one", True), "fs://none": (None, False)}
+    assert {(r.uri, r.size_bytes) for r in store.list("fs://media").collect()} == {("fs://media/clusters/c/b", 3)}
+    assert "content" not in store.list()._jdf.queryExecution().executedPlan().toString()
     store.delete(spark.createDataFrame([("fs://incoming/r/p/a",)], "uri string"))
+    assert {r.uri for r in store.list().collect()} == {"fs://media/clusters/c/b"}
     with pytest.raises(ValueError):
         store.get(spark.createDataFrame([("http://x",)], "uri string"))
 

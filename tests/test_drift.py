@@ -43,3 +43,22 @@ def test_empty_and_ties(spark):
     assert R.file_changes(spark.createDataFrame([], schema)).count() == 0
     df = spark.createDataFrame([(1, "f", 1, 1, '{"a": 1}'), (2, "f", 1, 2, '{"a": "x"}'), (3, "f", 2, 1, '{"a": 2}'), (4, "f", 3, 1, "no")], schema)
     assert {tuple(r) for r in R.file_changes(df).collect()} == {("f", 2, "retyped", "a", "a"), ("f", 3, "removed", "a", "")}
+
+
+def test_unlike_fields_are_no_renames(spark):
+    """Fields that go while others of the same type come: none carries the other's kind of content."""
+    rng = random.Random(7)
+    pick = lambda *words: rng.choice(words)
+    old = lambda: {"city": pick("Elmsby", "Oberlind", "Quellau"), "port": rng.randint(5000, 5999), "ratio": round(rng.random(), 3), "tags": [pick("a", "b")], "who": {"name": pick("ann", "bo"), "age": rng.randint(20, 60)}, "sku": f"AB-{rng.randint(1000, 9999)}", "on": True}
+    new = lambda: {"colour": pick("red", "green", "blue"), "retries": rng.randint(0, 3), "celsius": round(rng.uniform(15, 25), 1), "pages": [rng.randint(1, 9)], "where": {"street": "12 copper row", "floor": 3}, "mail": f"{pick('x', 'y')}@example.org", "note": pick("late", "early")}
+    df = spark.createDataFrame(lines("f", 1, [old() for _ in range(60)]) + lines("f", 2, [new() for _ in range(60)]), "record_id bigint, feed string, file_no int, line_no int, body string, token string")
+    got = {tuple(r)[2:] for r in R.file_changes(df).collect()}
+    assert got == {("removed", k, "") for k in old()} | {("added", "", k) for k in new()}
+
+
+def test_renames_of_every_type_are_found(spark):
+    rng = random.Random(8)
+    record = lambda names: dict(zip(names, (rng.choice(["login", "logout"]), rng.randint(100, 900), round(rng.uniform(1, 9), 2), rng.random() < 0.5, [rng.choice("ab")], {"id": rng.randint(1, 9), "kind": "x"}), strict=True))
+    a, b = list("abcdef"), list("uvwxyz")
+    df = spark.createDataFrame(lines("f", 1, [record(a) for _ in range(60)]) + lines("f", 2, [record(b) for _ in range(60)]), "record_id bigint, feed string, file_no int, line_no int, body string, token string")
+    assert {tuple(r)[2:] for r in R.file_changes(df).collect()} == {("renamed", x, y) for x, y in zip(a, b, strict=True)}
